@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.plans import written
+
 FANOUT = 4096
 #: Longest run of periods made by one row before the rest is spread over further rows.
 CHUNK = 8192
@@ -71,6 +73,8 @@ def regular_grid(readings: DataFrame, source: str, instant_us: str, period_s: st
     rows = rows.select(F.col(source).alias("_source"), "_period", slot.alias("_slot"), "_us", *(F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)))
     last = [F.max_by(F.struct(*(f"_v{i}" for i in range(len(values)))), F.struct("_us", *(f"_v{i}" for i in range(len(values))))).alias("_values")] if values else []
     slots = rows.groupBy("_source", "_period", "_slot").agg(F.count("*").alias("_n"), *last)
+    # Every level of the pairing reads the slots; written once, the readings are parsed and shuffled once.
+    slots = written(slots, "grid-slots")
     slots = slots.withColumn("_here", F.struct("_slot", *(["_values"] if values else [])))
     slots = next_in_order(slots, ["_source", "_period"], "_slot", "_here", "_there")
     gap = F.coalesce(F.col("_there._slot") - F.col("_slot") - 1, F.lit(0).cast("bigint"))
