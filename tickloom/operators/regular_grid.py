@@ -28,7 +28,7 @@ def timeframe_seconds(text: Column) -> Column:
     return F.when(t.rlike(r"^[MHD][1-9]\d{0,5}$"), unit.cast("bigint") * F.substring(t, 2, 6).cast("bigint"))
 
 
-def next_in_order(df: DataFrame, keys: list[str], number: str, row: str, out: str, levels: int = 3) -> DataFrame:
+def next_in_order(df: DataFrame, keys: list[str], number: str, row: str, out: str, levels: int = 2) -> DataFrame:
     """Adds ``out``: the struct ``row`` of the next larger ``number`` of the same keys, or null.
 
     ``row`` must be a struct that begins with the number; (keys, number) must be unique. The top level's windows hold one row per
