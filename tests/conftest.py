@@ -14,11 +14,13 @@ DATA = "/root/testdata"
 def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .config("spark.driver.memory", "4g")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.worker.reuse", "true")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -21,11 +21,15 @@ def tables():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(reference_queries.ORACLE))
+ORACLE = problem_queries.ORACLE | reference_queries.ORACLE
+QUERIES = problem_queries.QUERIES | reference_queries.QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, tables, name):
-    made = reference_queries.QUERIES[name](spark, FOLDER)
+    made = QUERIES[name](spark, FOLDER)
     columns = sorted(made.columns)
-    sql = reference_queries.ORACLE[name]
+    sql = ORACLE[name]
     assert sorted(tables.sql(sql).columns) == columns
     wanted = sorted(map(str, tables.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()))
     assert sorted(str(tuple(r[c] for c in columns)) for r in made.collect()) == wanted

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when Catalyst's size estimate is below this many bytes.
@@ -54,20 +54,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage and computes it once."""
+    """``df`` written to the shared folder and read again: cuts the lineage and computes it once. ``forget`` removes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def null_safe(left: list[Column], right: list[Column]) -> Column:
-    """A conjunction of null-safe equalities."""
-    out = F.lit(True)
-    for a, b in zip(left, right, strict=True):
-        out = out & a.eqNullSafe(b)
-    return out
+def forget(spark: SparkSession) -> None:
+    """Removes the tables written so far; DataFrames that read them can't be used afterwards."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tuned(spark: SparkSession) -> SparkSession:

@@ -169,3 +169,18 @@ def sequence_checks(candles: DataFrame, calendar: Calendar, step_s: int, malform
     both = seen.join(lost, list(by), "left") if by else seen.join(F.broadcast(lost))
     expected = both.select(*by, (F.col("_seen") + F.coalesce("_lost", F.lit(0))).alias("expected_candles"))
     return Sequence(gaps, missing, expected if by else expected.where(F.col("expected_candles") > 0))
+
+
+def pairwise_gaps(candles: DataFrame, step_s: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Gaps without a calendar: consecutive instants more than a step apart, with the whole time between them and the steps it misses."""
+    step = step_s * 1_000_000
+    points = candles.select(*by, micros().alias("t")).where(F.col("t").isNotNull()).distinct()
+    pairs = nearest(points, list(by), "t", "t", "next_t").where(F.col("next_t") - F.col("t") > step)
+    missing = F.floor((F.col("next_t") - F.col("t")) / F.lit(step)).cast("bigint") - 1
+    return pairs.select(*by, F.timestamp_micros("t").alias("previous"), F.timestamp_micros("next_t").alias("next"), ((F.col("next_t") - F.col("t")) / 1_000_000).cast("bigint").alias("elapsed_seconds"), missing.alias("missing_count"))
+
+
+def pairwise_missing(gaps: DataFrame, step_s: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The missing instants of ``pairwise_gaps``, numbered from 1 within each gap."""
+    rows = spread(gaps, F.lit(1).cast("bigint"), F.col("missing_count"), "child_order")
+    return rows.select(*by, "previous", "child_order", F.timestamp_micros(micros("previous") + F.col("child_order") * (step_s * 1_000_000)).alias("ts"))
