@@ -30,12 +30,13 @@ def ramped(targets: DataFrame, ramp: float = RAMP) -> DataFrame:
     """Targets with ``knots``: linear schedules that put sources with many allowed repeats later, at every moment adding up to 1.
 
     A source's weight at time t in [0, 1] is its share times the knots' multiplier, whose integral is 1."""
-    mean = targets.agg(F.sum(F.col("target_share") * F.col("max_repeats")) / F.sum("target_share")).toDF("_mean")
-    wide = targets.crossJoin(F.broadcast(mean))  # one row
-    most = wide.agg(F.max(F.abs(F.col("max_repeats") - F.col("_mean")))).toDF("_most")
-    tilt = F.when(F.col("_most") > 0, F.lit(ramp) * (F.col("max_repeats") - F.col("_mean")) / F.col("_most")).otherwise(F.lit(0.0))
+    every = Window.partitionBy(F.lit(0))  # as many rows as there are targets
+    mean = F.sum(F.col("target_share") * F.col("max_repeats")).over(every) / F.sum("target_share").over(every)
+    wide = targets.withColumn("_off", F.col("max_repeats") - mean)
+    most = F.max(F.abs(F.col("_off"))).over(every)
+    wide = wide.withColumn("_tilt", F.when(most > 0, F.lit(ramp) * F.col("_off") / most).otherwise(F.lit(0.0)))
     knot = lambda t, m: F.struct(F.lit(t).cast("double").alias("t"), m.cast("double").alias("m"))
-    return wide.crossJoin(F.broadcast(most)).withColumn("knots", F.array(knot(0.0, 1 - tilt), knot(1.0, 1 + tilt))).drop("_mean", "_most")
+    return wide.withColumn("knots", F.array(knot(0.0, 1 - F.col("_tilt")), knot(1.0, 1 + F.col("_tilt")))).drop("_off", "_tilt")
 
 
 def scheduled(targets: DataFrame, schedule: Schedule) -> DataFrame:
@@ -47,7 +48,7 @@ def scheduled(targets: DataFrame, schedule: Schedule) -> DataFrame:
         if points[0][0] != 0 or points[-1][0] != 1 or any(m < 0 for _, m in points):
             raise ValueError("a schedule runs from 0 to 1 with multipliers of 0 or more")
         area = sum((b - a) * (x + y) / 2 for (a, x), (b, y) in zip(points, points[1:], strict=False))
-        rows.append((source, [(t, m / area) for t, m in points]))
+        rows.append((source, [(float(t), float(m / area)) for t, m in points]))
     knots = targets.sparkSession.createDataFrame(rows, "source string, knots array<struct<t:double,m:double>>")
     flat = F.array(F.struct(F.lit(0.0).alias("t"), F.lit(1.0).alias("m")), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("m")))
     return targets.join(F.broadcast(knots), "source", "left").withColumn("knots", F.coalesce("knots", flat))
