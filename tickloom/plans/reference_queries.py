@@ -315,12 +315,15 @@ def malformed_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @_query(f"""WITH {_CANDLES}, t AS (SELECT ts, lead(ts) OVER (ORDER BY ts) AS next FROM (SELECT DISTINCT ts FROM c))
- SELECT CAST(epoch(ts) AS BIGINT) AS previous_s, CAST(epoch(next) - epoch(ts) AS BIGINT) AS elapsed_seconds, CAST((epoch(next) - epoch(ts)) // 300 AS BIGINT) - 1 AS missing_count FROM t WHERE epoch(next) - epoch(ts) > 300""")
+ SELECT CAST(epoch(ts) AS BIGINT) AS previous_s, CAST(epoch(next) - epoch(ts) AS BIGINT) AS elapsed_seconds, CAST(epoch(next) - epoch(ts) AS BIGINT) // 300 - 1 AS missing_count FROM t WHERE epoch(next) - epoch(ts) > 300""")
 def pairwise_gaps(spark: SparkSession, folder: str) -> DataFrame:
     return checks.pairwise_gaps(_candles(spark, folder), 300).select(seconds("previous").alias("previous_s"), "elapsed_seconds", "missing_count")
 
 
-@_query(f"""WITH {_CANDLES}, g AS (SELECT ts, count(*) AS n, len(list_filter([{_DIFFER}], x -> x IS NOT NULL)) AS fields, min(line) AS first_line FROM c GROUP BY ts HAVING count(*) > 1)
+_DIFFERENT = " + ".join(f"CAST(min({f}) <> max({f}) AS INT)" for f in ("open", "high", "low", "close", "volume"))
+
+
+@_query(f"""WITH {_CANDLES}, g AS (SELECT ts, count(*) AS n, {_DIFFERENT} AS fields, min(line) AS first_line FROM c GROUP BY ts HAVING count(*) > 1)
  SELECT 'duplicate-record:' || {_KEY.format('ts')} || ':line-' || first_line AS reference, line AS source_line, CAST(row_number() OVER (PARTITION BY ts ORDER BY line) - 1 + fields AS BIGINT) AS child_order FROM c JOIN g USING (ts)""")
 def duplicate_evidence(spark: SparkSession, folder: str) -> DataFrame:
     rows = _candles(spark, folder)
