@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.plans import written
 from tickloom.operators import checks
 from tickloom.operators.calendars import Calendar
 from tickloom.operators.ordered_blocks import numbered
@@ -107,7 +108,8 @@ def catalog(candles: DataFrame, calendar: Calendar, step_s: int, malformed: Data
     ]
     if malformed is not None:
         parts.append(_finding(malformed, by, "MalformedRow", physical("MalformedRow", "source_line"), "ts", F.col("source_line")))
-    findings = distinguished(reduce(DataFrame.unionByName, parts), by)
+    # Summary, evidence, edges and reports all read the findings: made once.
+    findings = written(distinguished(reduce(DataFrame.unionByName, parts), by), "findings-table")
     return Catalog(findings, edges(seq, by), seq, groups, bad, closed, malformed)
 
 
