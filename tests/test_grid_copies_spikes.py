@@ -185,3 +185,31 @@ def test_implausible(spark):
     assert by["stuck"] == set(range(10_399, 10_412))
     assert by["impossible"] == {20_010, 20_012, 99_999}
     assert spikes.implausible(frame.limit(0), runs).collect() == []
+
+
+def test_many_spikes(spark):
+    from decimal import Decimal
+
+    rows = readings(1, 200, 5)
+    wanted = set(range(5, 195, 8))  # more than every tenth reading, of sizes that differ by far
+    for k, i in enumerate(sorted(wanted)):
+        rows[i][7] += 10 + 40 * k
+    frame = spark.createDataFrame([(*r[:6], *(Decimal(f"{v:.8f}") for v in r[6:])) for r in rows], RAW)
+    runs = spark.createDataFrame([(r, "all_categories", "M1", None, None, None, "Z") for r in (1,)], RUNS)
+    made = spikes.implausible(frame, runs).where("reason = 'spike'").collect()
+    assert {r["row_id"] for r in made} == {10_000 + i for i in wanted}
+
+
+def test_block_done_again(monkeypatch, spark):
+    """A piece whose own scale asks for more than the source's does loses nothing."""
+    from decimal import Decimal
+
+    rows = readings(1, 300, 7)
+    wanted = {20, 60, 120, 200}
+    for i in wanted:
+        rows[i][7] += 8
+    frame = spark.createDataFrame([(*r[:6], *(Decimal(f"{v:.8f}") for v in r[6:])) for r in rows], RAW)
+    runs = spark.createDataFrame([(1, "all_categories", "M1", None, None, None, "Z")], RUNS)
+    monkeypatch.setattr(spikes, "FIRST", 1e6)  # no block proposes anything at once
+    made = spikes.implausible(frame, runs).where("reason = 'spike'").collect()
+    assert sorted(r["row_id"] for r in made) == sorted(10_000 + i for i in wanted)

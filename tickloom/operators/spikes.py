@@ -10,7 +10,9 @@ Three tests, each on a reading's fields on its own:
   opening value that follows.
 
 Re-sent copies are merged first (partial aggregation before the shuffle). The order-dependent tests run in blocks of equal size
-with a halo, so one source may hold any share of the rows; the scales are merged from per-block histograms of the details.
+with a halo, so one source may hold any share of the rows; the scales are merged from per-block histograms of the details. A block
+proposes the spikes beyond a fraction of its own piece's scale; where the source's scale turns out to ask for less, the block is
+done again for all of them.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ HALO = 2 * (STUCK + BRIDGE)
 CERTAIN, SUSPECT, BREAK = 30.0, 13.0, 12.0
 #: Histogram bins of details to a factor of 2; a scale is exact to half a bin.
 BINS = 32
+#: A block proposes spikes beyond this share of ``SUSPECT`` standard deviations of its own piece at once.
+FIRST = 0.25
 NORMAL = 0.6745
 
 _OUT = "source bigint, field int, kind string, reading bigint, size double, break double, bin int, n bigint"
@@ -87,7 +91,9 @@ def spike_sizes(source: np.ndarray, v: np.ndarray) -> np.ndarray:
     return best
 
 
-def _block(frame: pd.DataFrame, block_rows: int) -> pd.DataFrame:
+def _block(frame: pd.DataFrame, block_rows: int, all_sizes: bool = False) -> pd.DataFrame:
+    """Rows of kind stuck, scale (a bin of details), spike (its block in n) and least (the size in the block n up to which no spikes
+    of the source are given; none with ``all_sizes``)."""
     frame = frame.sort_values("_at", kind="stable")
     at, block = frame["_at"].to_numpy(), int(frame["_block"].iloc[0])
     own = at // block_rows == block
@@ -121,11 +127,13 @@ def _block(frame: pd.DataFrame, block_rows: int) -> pd.DataFrame:
             if b - a < 3:
                 continue
             usual = np.nanmedian(gap[a:b]) if np.isfinite(gap[a:b]).any() else np.nan
-            least = np.quantile(d, 0.9)
+            some = moved[moved > 0]
+            least = 0.0 if all_sizes or not len(some) else FIRST * SUSPECT * (np.median(moved) or np.median(some)) / NORMAL
+            give(int(least > 0), source=s[a], field=f, kind="least", size=least, n=block)
             i = a + np.flatnonzero((sizes[a:b] > least) & mine[a:b])
             with np.errstate(divide="ignore", invalid="ignore"):
                 gaps = np.nan_to_num(gap[i] / usual, nan=0.0, posinf=1e300)
-            give(len(i), source=s[i], field=f, kind="spike", reading=reading[known[i]], size=sizes[i], **{"break": gaps})
+            give(len(i), source=s[i], field=f, kind="spike", reading=reading[known[i]], size=sizes[i], n=block, **{"break": gaps})
     kinds = {"source": "int64", "field": "int32", "kind": "str", "reading": "int64", "size": "float64", "break": "float64", "bin": "int32", "n": "int64"}
     return pd.concat(out, ignore_index=True).astype(kinds) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in kinds.items()})
 
@@ -168,10 +176,20 @@ def implausible(readings: DataFrame, runs: DataFrame, label: str = "implausible"
     rows = written(rows, f"{label}-rows")
     merged = rows.where(F.col("source").isNotNull() & F.col("at").isNotNull()).groupBy("source", "reading").agg(F.max("at").alias("at"), F.min("source_line").alias("line"), *(F.first(c).alias(c) for c in ("open", *FIELDS)))
     blocks = ordered_blocks(merged, ["source", "at", "line", "reading"], f"{label}-order", HALO)
-    parts = blocks.select("_block", "_at", "source", "reading", "open", *FIELDS).groupBy("_block").applyInPandas(lambda pdf: _block(pdf, BLOCK_ROWS), _OUT)
+    columns = blocks.select("_block", "_at", "source", "reading", "open", *FIELDS)
+    parts = columns.groupBy("_block").applyInPandas(lambda pdf: _block(pdf, BLOCK_ROWS), _OUT)
     parts = written(parts, f"{label}-parts")
+    scales = _scales(parts)
+    short = parts.where(F.col("kind") == "least").join(scales, ["source", "field"]).where(F.col("size") > SUSPECT * F.col("scale"))
+    short = written(short.select("source", "field", "n", F.col("size").alias("least")), f"{label}-short")
+    proposed = parts.where(F.col("kind") == "spike").select("source", "reading", "kind", "field", "size", "break")
+    if not short.isEmpty():
+        left = columns.join(F.broadcast(short.select(F.col("n").alias("_block")).distinct()), "_block", "left_semi")
+        again = left.groupBy("_block").applyInPandas(lambda pdf: _block(pdf, BLOCK_ROWS, True), _OUT).where(F.col("kind") == "spike")
+        again = again.join(short, ["source", "field", "n"]).where(F.col("size") <= F.col("least"))
+        proposed = proposed.unionByName(again.select(*proposed.columns))
     far = F.col("size") / F.col("scale")
-    spikes = parts.where(F.col("kind") == "spike").join(_scales(parts), ["source", "field"]).where((far > CERTAIN) | ((far > SUSPECT) & (F.col("break") > BREAK)))
+    spikes = proposed.join(scales, ["source", "field"]).where((far > CERTAIN) | ((far > SUSPECT) & (F.col("break") > BREAK)))
     cases = parts.where(F.col("kind") == "stuck").select("source", "reading", "kind", "field").unionByName(spikes.select("source", "reading", "kind", "field"))
     field = F.element_at(F.array(*(F.lit(f) for f in FIELDS)), F.col("field") + 1)
     found = rows.join(cases, ["source", "reading"]).select("row_id", F.col("kind").alias("reason"), field.alias("field"))
