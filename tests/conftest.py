@@ -20,9 +20,6 @@ def spark(tmp_path_factory):
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .config("spark.driver.memory", "4g")
         .config("spark.ui.showConsoleProgress", "false")
-        # Small fixtures spend their time compiling and planning.
-        .config("spark.sql.codegen.wholeStage", "false")
-        .config("spark.sql.adaptive.enabled", "false")
         .config("spark.sql.autoBroadcastJoinThreshold", "20m")
         .getOrCreate()
     )

@@ -86,15 +86,12 @@ def patterns(frame: DataFrame, column: str, zone_suffix: bool) -> DataFrame:
     return ids.mapInPandas(run, TRANSLATED)
 
 
-def canonical(df: DataFrame, text: Column, out: str, options: list[tuple[Column, Column]]) -> DataFrame:
-    """Adds ``out``: the canonical form of ``text`` by the first (regex, replacement) that matches, or null.
-
-    The first option, which fits most rows, is tried in a column of its own, so that it costs one pass; a text that has a bar
-    itself matches nothing."""
-    df = df.withColumn(f"{out}_text", F.when(~text.contains("|"), text))
-    t = F.col(f"{out}_text")
-    df = df.withColumn(f"{out}_first", F.regexp_replace(t, *options[0]))
-    choice = F.when(F.col(f"{out}_first").contains("|"), F.col(f"{out}_first"))
-    for regex, replacement in options[1:]:
-        choice = choice.when(F.regexp_like(t, regex), F.regexp_replace(t, regex, replacement))
-    return df.withColumn(out, choice).drop(f"{out}_text", f"{out}_first")
+def canonical(text: Column, options: list[tuple[Column | str, Column | str]]) -> Column:
+    """The canonical form of ``text`` by the first (regex, replacement) that matches; a text that none matches stays as it is.
+
+    Each option is one pass over what the option before it left: a canonical form holds bars, which no notation but the first may match,
+    so a form once found passes through. A text that has a bar itself is null."""
+    out = F.when(~text.contains("|"), text)
+    for regex, replacement in options:
+        out = F.regexp_replace(out, regex if isinstance(regex, Column) else F.lit(regex), replacement if isinstance(replacement, Column) else F.lit(replacement))
+    return out

@@ -73,7 +73,10 @@ def forget(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def tuned(spark: SparkSession) -> SparkSession:
-    """Keeps generated methods within the 8000 bytes that HotSpot compiles; longer ones would be interpreted. Runtime setting only."""
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    return spark
+def settled(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a projection below which no filter on its columns is pushed.
+
+    A filter on a long chain of projections would otherwise be pushed to its foot with the whole chain written out in its condition: the
+    work is done twice, in a generated method too large to be compiled. To Catalyst the partition's number isn't deterministic, so
+    the filter stays above; the number itself is one per task and changes no value."""
+    return df.withColumn(column, F.when(F.spark_partition_id() >= 0, F.col(column)))

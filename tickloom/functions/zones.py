@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Years for which intervals are listed. Later years repeat after 400 years (a Gregorian cycle has a whole number of weeks).
 FIRST_YEAR, LAST_YEAR, CYCLE = 1900, 2399, 400
+CYCLE_S = 146097 * 86400
 MAX_OFFSET_S = 14 * 3600
 #: Offsets are compared at this distance; the shortest known return to an earlier offset lasts weeks.
 STEP_S = 7 * 86400
@@ -25,21 +26,28 @@ INTERVALS = "zone string, year int, spans array<struct<lo:bigint,hi:bigint,offse
 _SIGNED = r"^(?:UTC|GMT)?\s*([+-])?(\d{1,2})(?::?(\d{2}))?(?::(\d{2}))?$"
 
 
-def setting_offset(text: Column) -> Column:
-    """Offset in seconds that a setting such as ``+05:30``, ``-0330``, ``-08:00:00``, ``UTC+3`` or ``Z`` fixes, or null.
-
-    Null and blank settings take the default. A text without a sign is read only as H:mm:ss or HH:mm, ahead of UTC. Minutes or
-    seconds over 59 and offsets beyond 14 hours are unusable (null), as is any other text; zone ids are also null here."""
-    t = F.upper(F.coalesce(F.when(F.trim(text) != "", F.trim(text)), F.lit(DEFAULT_OFFSET)))
-
-    def part(i: int) -> Column:
-        return F.coalesce(F.when(F.regexp_extract(t, _SIGNED, i) != "", F.regexp_extract(t, _SIGNED, i).cast("int")), F.lit(0))
-
-    sign = F.when(F.regexp_extract(t, _SIGNED, 1) == "-", -1).otherwise(1)
-    seconds = sign * (part(2) * 3600 + part(3) * 60 + part(4))
-    signed = F.regexp_extract(t, _SIGNED, 1) != ""
-    usable = t.rlike(_SIGNED) & (signed | t.rlike(r"^\d{1,2}:\d{2}")) & (part(3) < 60) & (part(4) < 60) & (F.abs(seconds) <= MAX_OFFSET_S)
-    return F.when(t.isin("Z", "UTC", "GMT"), 0).when(usable, seconds)
+def with_offset(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds ``out``, the offset in seconds that a text such as ``+05:30``, ``-0330``, ``-08:00:00``, ``UTC+3`` or ``Z`` fixes, or null.
+
+    A text without a sign is read only as H:mm:ss or HH:mm, ahead of UTC. Minutes or seconds over 59 and offsets beyond 14 hours are
+    unusable (null), as is any other text; zone ids are also null here. The text is matched once."""
+    t = F.upper(F.trim(F.col(text)))
+    df = df.withColumn("_offset_parts", F.split(F.regexp_replace(t, _SIGNED, "$1|$2|$3|$4"), r"\|", -1))
+    p = F.col("_offset_parts")
+    numbers = {f"_offset_{i}": F.when(F.get(p, F.lit(i)) == "", 0).otherwise(F.get(p, F.lit(i)).try_cast("int")) for i in (1, 2, 3)}
+    df = df.withColumns({"_offset_sign": F.get(p, F.lit(0)), **numbers})
+    hours, minutes, rest = (F.col(c) for c in numbers)
+    size = hours * 3600 + minutes * 60 + rest
+    # Only a text that the expression matched has all four parts.
+    usable = (minutes < 60) & (rest < 60) & (size <= MAX_OFFSET_S) & ((F.col("_offset_sign") != "") | t.rlike(r"^\d{1,2}:\d{2}"))
+    seconds = F.when(t.isin("Z", "UTC", "GMT"), 0).when(usable, F.when(F.col("_offset_sign") == "-", -size).otherwise(size))
+    return df.withColumn(out, seconds).drop("_offset_parts", "_offset_sign", *numbers)
+
+
+def setting_offset(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``with_offset`` of a run's setting, of which null and blank ones take the default."""
+    given = F.coalesce(F.when(F.trim(F.col(text)) != "", F.col(text)), F.lit(DEFAULT_OFFSET))
+    return with_offset(df.withColumn("_setting", given), "_setting", out).drop("_setting")
 
 
 def _offset(zone: zoneinfo.ZoneInfo, second: int) -> tuple[int, str]:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.plans import EXPANSION, estimated_bytes, shuffle_partitions, tuned
+from tickloom.functions.plans import EXPANSION, estimated_bytes, shuffle_partitions
 
 #: Memory of one side's bucket that is aimed at.
 BUCKET_BYTES = 16 * 1024 * 1024
@@ -89,7 +89,6 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list
     rows of one key on a side the first by ``source_line``, if there is such a column, then by the fields, is taken, so repeated
     rows count once. ``difference`` is the field's name, ``missing_in_candidate`` (right) or ``missing_in_reference`` (left). With
     an empty side every row of the other is missing; other columns are ignored."""
-    tuned(left.sparkSession)
     size = max(estimated_bytes(left), estimated_bytes(right)) * EXPANSION
     n = buckets or max(shuffle_partitions(left.sparkSession), math.ceil(size / BUCKET_BYTES))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import netformat
-from tickloom.functions.plans import small_side, tuned
+from tickloom.functions.plans import small_side
 from tickloom.operators.timestamps import DEFAULT_DATE
 
 #: The columns of a file without a header, and the reason codes.
@@ -108,7 +108,6 @@ def parsed_lines(raw: DataFrame, runs: DataFrame) -> DataFrame:
     """The record lines of ``raw`` (header, null and blank lines are none) with their run's layout and ``fields``.
 
     ``line_key`` names a line by all it has, so that a null or repeated record_id does no harm: equal lines get equal verdicts."""
-    tuned(raw.sparkSession)
     layouts = small_side(run_layouts(raw, runs).withColumnRenamed("run_id", "_run"), runs)
     lines = raw.select("record_id", "run_id", "source_line", "raw_text").join(layouts, F.col("run_id") == F.col("_run"), "left").drop("_run")
     lines = lines.withColumn("delimiter", F.coalesce("delimiter", F.lit(","))).withColumn("columns", F.coalesce("columns", F.array(*(F.lit(c) for c in COLUMNS))))

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import netformat, zones
 from tickloom.functions.numbers import parse_decimal
-from tickloom.functions.plans import tuned
 from tickloom.operators import malformed, timestamps
 
 RANGE_BYTES = 64 * 1024 * 1024
@@ -305,8 +304,8 @@ def _first_line(path: str) -> str:
     return head.split(b"\n", 1)[0].removesuffix(b"\r").decode("utf-8-sig", "replace")
 
 
-def _instant(fields: Column, layout: Layout, options: CsvOptions) -> tuple[Column, Column]:
-    """Local microseconds, and the zone text of a round-trip timestamp (null otherwise)."""
+def _stamp_parts(fields: Column, layout: Layout, options: CsvOptions) -> Column:
+    """The parts of the canonical form of a row's timestamp by the first of its formats that fits, or null."""
     get = lambda i: F.btrim(F.get(fields, F.lit(i)))
     if layout.combined:
         formats = [options.timestamp_format] if options.timestamp_format else list(COMBINED_FORMATS)
@@ -319,14 +318,12 @@ def _instant(fields: Column, layout: Layout, options: CsvOptions) -> tuple[Colum
         regex, replacement = netformat.translate(pattern, zone_suffix=False)
         value = F.split(F.regexp_replace(text, regex, replacement), r"\|", -1)
         parts = F.when(text.rlike(regex), value) if parts is None else parts.when(text.rlike(regex), value)
-    local = timestamps._local(parts)
-    return local["us"], local["zone"]
+    return parts
 
 
 def scan(spark: SparkSession, path: str, options: CsvOptions) -> Prepared:
     """Reads a file once and keeps the parsed rows. A line shorter than the layout is fatal, a value that doesn't parse makes its row
     malformed; further columns are ignored. A header without rows gives empty DataFrames."""
-    tuned(spark)
     identity = fingerprint(path)
     head = _first_line(path)
     delimiter = parse_delimiter(options.delimiter) if options.delimiter else detect_delimiter(head)
@@ -336,9 +333,9 @@ def scan(spark: SparkSession, path: str, options: CsvOptions) -> Prepared:
         lines = lines.where(F.col("source_line") > 1)
     fields = F.transform(malformed.cells(F.col("text"), F.lit(delimiter)), lambda c: F.coalesce(malformed._content(c), c))
     rows = lines.select("source_line", "text", fields.alias("fields"))
-    us, zone = _instant(F.col("fields"), layout, options)
-    rows = rows.withColumn("_us", us).withColumn("_zone", zone)
-    offset = F.coalesce(F.when(F.col("_zone") != "", zones.setting_offset(F.col("_zone"))), F.lit(offset_seconds(options.tz_offset)))
+    rows = timestamps.with_parts(rows.withColumn("_parts", _stamp_parts(F.col("fields"), layout, options)), "_parts")
+    rows = zones.with_offset(rows, "_zone_text", "_explicit")
+    offset = F.coalesce("_explicit", F.lit(offset_seconds(options.tz_offset)))
     rows = rows.withColumn("ts", F.timestamp_micros(F.col("_us") - offset.cast("bigint") * 1_000_000))
     for name, at in zip(PRICES, layout.numbers, strict=True):
         value = F.get("fields", F.lit(at))
@@ -346,7 +343,7 @@ def scan(spark: SparkSession, path: str, options: CsvOptions) -> Prepared:
     bad = F.when(F.col("ts").isNull(), "The timestamp doesn't parse.")
     for name in PRICES:
         bad = bad.when(F.col(name).isNull(), f"The {name} is no decimal number.")
-    rows = rows.withColumn("reason", bad).withColumn("_width", F.size("fields")).drop("fields", "_us", "_zone").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.withColumn("reason", bad).withColumn("_width", F.size("fields")).drop("fields", "_parts", "_us", "_unit", "_zone_text", "_explicit").persist(StorageLevel.MEMORY_AND_DISK)
     good = F.col("reason").isNull()
     at = F.when(good, F.col("ts"))
     totals = rows.agg(F.count("*").alias("examined"), F.count(F.when(good, 1)).alias("accepted"), F.min("_width").alias("width"), F.min(F.when(F.col("_width") < layout.width, F.col("source_line"))).alias("line"), F.min(at).alias("first"), F.max(at).alias("last")).first()
