@@ -131,13 +131,32 @@ def test_stuck_mask():
     assert not spikes.stuck_mask(split, v).any()
 
 
-def test_spike_sizes():
-    one = np.zeros(12, np.int64)
-    v = np.ones(12)
-    v[4:6] = 9
-    assert list(np.flatnonzero(spikes.spike_sizes(one, v))) == [4, 5]
-    v[4:8] = 9
-    assert not spikes.spike_sizes(one, v).any()
+def proposed(v, source=None, level=1):
+    v, source, row = np.asarray(v, float), np.zeros(len(v), np.int64) if source is None else source, np.arange(len(v))
+    first = spikes.details(source, row, v, 1)
+    return list(np.flatnonzero(spikes.proposals(source, row, v, level, spikes.details(source, row, v, level), spikes.local_scale(row, first))[0]))
+
+
+def test_details_against_the_definition():
+    rng = np.random.default_rng(3)
+    v, source, row = rng.normal(size=60), np.repeat([1, 2], 30), np.arange(60)
+    for level in (1, 2, 3):
+        h, got = 2 ** (level - 1), spikes.details(source, row, v, level)
+        for t in range(60):
+            inside = h <= t <= 60 - h and source[t - h] == source[t + h - 1]
+            assert np.isnan(got[t]) if not inside else got[t] == pytest.approx(v[t : t + h].mean() - v[t - h : t].mean())
+
+
+def test_proposals():
+    flat = np.arange(12) % 2 * 0.1
+    v = flat.copy()
+    v[4:6] += 9
+    assert proposed(v) == [4, 5] and proposed(v, level=2) == [4, 5]
+    v[4:8] = flat[4:8] + 9
+    assert proposed(v) == []  # four readings are a level of their own
+    assert proposed(np.where(np.arange(12) < 6, 0, 9) + flat) == []
+    assert proposed([0, 0.1, 0, 0.1, 4, 9, 4, 0, 0.1, 0, 0.1, 0], level=2) == [4, 5, 6]  # a slope either side
+    assert proposed(flat + np.where(np.arange(12) == 5, 9, 0), np.repeat([1, 2], 6)) == []  # at the end of a source
 
 
 RAW = "row_id bigint, run_id bigint, source_line bigint, date string, time string, loaded_at timestamp, open decimal(20,8), high decimal(20,8), low decimal(20,8), close decimal(20,8), volume decimal(20,8)"
@@ -187,29 +206,74 @@ def test_implausible(spark):
     assert spikes.implausible(frame.limit(0), runs).collect() == []
 
 
-def test_many_spikes(spark):
+def frame_of(spark, rows):
     from decimal import Decimal
 
-    rows = readings(1, 200, 5)
-    wanted = set(range(5, 195, 8))  # more than every tenth reading, of sizes that differ by far
-    for k, i in enumerate(sorted(wanted)):
-        rows[i][7] += 10 + 40 * k
-    frame = spark.createDataFrame([(*r[:6], *(Decimal(f"{v:.8f}") for v in r[6:])) for r in rows], RAW)
-    runs = spark.createDataFrame([(r, "all_categories", "M1", None, None, None, "Z") for r in (1,)], RUNS)
-    made = spikes.implausible(frame, runs).where("reason = 'spike'").collect()
-    assert {r["row_id"] for r in made} == {10_000 + i for i in wanted}
-
+    return spark.createDataFrame([tuple(None if v is None else Decimal(f"{v:.8f}") if i > 5 else v for i, v in enumerate(r)) for r in rows], RAW)
 
-def test_block_done_again(monkeypatch, spark):
-    """A piece whose own scale asks for more than the source's does loses nothing."""
-    from decimal import Decimal
 
-    rows = readings(1, 300, 7)
-    wanted = {20, 60, 120, 200}
-    for i in wanted:
+def test_many_spikes(spark):
+    """Of sizes that differ by far, every 6, 8, 15 or 25 readings; and one each in runs of 3 to 12 readings."""
+    rows, wanted, lengths = [], set(), {}
+    for run, every in enumerate((6, 8, 15, 25), 1):
+        own = readings(run, 200, run)
+        for k, i in enumerate(range(5, 195, every)):
+            own[i][7] += 10 + 40 * k
+            wanted.add(own[i][0])
+        rows += own
+    for n in range(3, 13):
+        own = readings(10 + n, n, n)
+        own[n // 2][9] += 50
+        own[n // 2][7] += 50
+        wanted.add(own[n // 2][0])
+        lengths[10 + n] = n
+        rows += own
+    runs = spark.createDataFrame([(r, "all_categories", "M1", None, None, None, "Z") for r in (1, 2, 3, 4, *lengths)], RUNS)
+    made = spikes.implausible(frame_of(spark, rows), runs).where("reason = 'spike'").collect()
+    assert {r["row_id"] for r in made} == wanted
+
+
+def test_other_runs_and_blocks_change_nothing(spark):
+    rows = readings(5, 300, 7)
+    for i in (1, 20, 60, 64, 120, 200, 298):
         rows[i][7] += 8
-    frame = spark.createDataFrame([(*r[:6], *(Decimal(f"{v:.8f}") for v in r[6:])) for r in rows], RAW)
+    for i in range(100, 112):
+        rows[i][8] = rows[99][8] - 1
+    others = readings(1, 111, 1) + readings(7, 53, 2) + readings(3, 9, 3)
+    runs = spark.createDataFrame([(r, "all_categories", "M1", None, None, None, "Z") for r in (1, 3, 5, 7)], RUNS)
+    found = []
+    for extra, size in (([], 32768), (others, 32768), (others, 250), ([], 250)):
+        made = spikes.implausible(frame_of(spark, rows + extra), runs, block_rows=size).collect()
+        found.append(sorted((r["row_id"], r["reason"], str(r["field"])) for r in made if 50_000 <= r["row_id"] < 60_000))
+    assert found[0] == found[1] == found[2] == found[3] and {r for r, k, _ in found[0] if k == "spike"} == {50_000 + i for i in (1, 20, 60, 64, 120, 200, 298)}
+
+
+def test_no_spikes(spark):
+    """A lively period, a lasting change of level and a value that moves by one step are no cases."""
+    rng, rows = random.Random(4), readings(1, 300, 4)
+    for i in range(100, 160):
+        for f in (6, 7, 8, 9):
+            rows[i][f] += rng.uniform(-0.5, 0.5)
+        rows[i][7], rows[i][8] = max(rows[i][6:10]), min(rows[i][6:10])
+    for r in rows[200:]:
+        for f in (6, 7, 8, 9):
+            r[f] += 40
+    steps = readings(2, 9, 5)
+    for i, r in enumerate(steps):
+        r[6] = r[7] = r[8] = r[9] = 100.01 if i == 4 else 100.0
+    runs = spark.createDataFrame([(r, "all_categories", "M1", None, None, None, "Z") for r in (1, 2)], RUNS)
+    assert spikes.implausible(frame_of(spark, rows + steps), runs).where("reason = 'spike'").collect() == []
+
+
+def test_copies_by_instant(spark):
+    """Equal readings of one minute are readings of their own if their seconds differ; a text cut to the minute is a copy."""
+    rows = readings(1, 40, 9)
+    for k in range(9):
+        rows.append([10_500 + k, *rows[20][1:4], f"00:20:{5 * k + 5:02d}", *rows[20][5:]])
+    rows[20][4] = "00:20:01"
+    cut = [10_600, *rows[20][1:4], "00:20", *rows[20][5:]]
     runs = spark.createDataFrame([(1, "all_categories", "M1", None, None, None, "Z")], RUNS)
-    monkeypatch.setattr(spikes, "FIRST", 1e6)  # no block proposes anything at once
-    made = spikes.implausible(frame, runs).where("reason = 'spike'").collect()
-    assert sorted(r["row_id"] for r in made) == sorted(10_000 + i for i in wanted)
+    made = spikes.implausible(frame_of(spark, [*rows, cut]), runs).where("reason = 'stuck'").collect()
+    assert {r["row_id"] for r in made} == {10_020, 10_600, *range(10_500, 10_509)}
+    copies = [[10_700 + k, *rows[30][1:3], *rows[30][3:]] for k in range(12)]
+    assert spikes.implausible(frame_of(spark, [*rows[:40], *copies]), runs).collect() == []
