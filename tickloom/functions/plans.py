@@ -34,6 +34,15 @@ def small_side(df: DataFrame, base: DataFrame | None = None, limit: int = BROADC
     return F.broadcast(df) if size <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores if it is so small that its files may give fewer: for work in Python that costs
+    far more than moving these few megabytes. Anything larger is read in enough parts and stays as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    packed = int(spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()) * cores
+    return df.repartition(cores) if estimated_bytes(df) <= packed else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
