@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 FANOUT = 4096
 
 
-def nearest(df: DataFrame, keys: list[str], number: str, value: str, out: str, after: bool = True, levels: int = 3) -> DataFrame:
+def nearest(df: DataFrame, keys: list[str], number: str, value: str, out: str, after: bool = True, levels: int = 3, unit: int = 1) -> DataFrame:
     """Adds ``out``: the ``value`` of the nearest row beyond ``number`` (after or before it) whose value isn't null.
 
     ``value`` is null for rows that only ask, else a struct beginning with the number, or the number itself. Rows with the same
     number are in no defined order, so of rows that ask and answer at one number, make the number unique first."""
     nodes = [f"_node{i}" for i in range(1, levels + 1)]
     for i, name in enumerate(nodes):
-        df = df.withColumn(name, F.expr(f"floor({nodes[i - 1] if i else number} / {FANOUT}L)"))
+        df = df.withColumn(name, F.expr(f"floor({nodes[i - 1]} / {FANOUT}L)" if i else f"floor({number} / {FANOUT * unit}L)"))
     pick, first = (F.min, F.first) if after else (F.max, F.last)
     frame = (1, Window.unboundedFollowing) if after else (Window.unboundedPreceding, -1)
 

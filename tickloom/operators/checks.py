@@ -17,6 +17,8 @@ from tickloom.operators.asof import nearest
 from tickloom.operators.calendars import Calendar
 from tickloom.operators.regular_grid import spread
 
+#: Microseconds of the smallest timeframe.
+MINUTE = 60_000_000
 FIELDS = ("open", "high", "low", "close", "volume")
 #: Violation codes in the order in which they are listed.
 VIOLATIONS = (
@@ -81,7 +83,7 @@ def open_instants(candles: DataFrame, calendar: Calendar, by: tuple[str, ...] =
 
 def interval_counts(candles: DataFrame, calendar: Calendar, by: tuple[str, ...] = ()) -> DataFrame:
     """(delta_us, n): how often each distance between consecutive distinct open instants occurs."""
-    times = nearest(open_instants(candles, calendar, by), list(by), "t", "t", "_next")
+    times = nearest(open_instants(candles, calendar, by), list(by), "t", "t", "_next", levels=2, unit=MINUTE)
     return times.where(F.col("_next").isNotNull()).groupBy(*by, (F.col("_next") - F.col("t")).alias("delta_us")).agg(F.count("*").alias("n"))
 
 
@@ -146,7 +148,7 @@ def sequence_checks(candles: DataFrame, calendar: Calendar, step_s: int, malform
 
     asks = runs.select(*by, F.col("last_t").alias("t"), F.lit(None).cast("bigint").alias("v"), F.struct("previous_t", "previous_line", "lo", "first_slot", "last_slot", "first_t", "last_t").alias("run"))
     answers = points.select(*by, "t", F.col("t").alias("v"), F.lit(None).cast(asks.schema["run"].dataType).alias("run"))
-    gaps = nearest(asks.unionByName(answers), list(by), "t", "v", "next_t").where(F.col("run").isNotNull()).select(*by, "run.*", "next_t")
+    gaps = nearest(asks.unionByName(answers), list(by), "t", "v", "next_t", levels=2, unit=step).where(F.col("run").isNotNull()).select(*by, "run.*", "next_t")
     following = lines.select(*by, F.col("t").alias("next_t"), F.col("low_line").alias("next_line"))
     gaps = gaps.join(following, [*by, "next_t"], "left")
     count = F.col("last_slot") - F.col("first_slot") + 1
@@ -174,7 +176,7 @@ def pairwise_gaps(candles: DataFrame, step_s: int, by: tuple[str, ...] = ()) ->
     """Gaps without a calendar: consecutive instants more than a step apart, with the whole time between them and the steps it misses."""
     step = step_s * 1_000_000
     points = candles.select(*by, micros().alias("t")).where(F.col("t").isNotNull()).distinct()
-    pairs = nearest(points, list(by), "t", "t", "next_t").where(F.col("next_t") - F.col("t") > step)
+    pairs = nearest(points, list(by), "t", "t", "next_t", levels=2, unit=step).where(F.col("next_t") - F.col("t") > step)
     missing = F.floor((F.col("next_t") - F.col("t")) / F.lit(step)).cast("bigint") - 1
     return pairs.select(*by, F.timestamp_micros("t").alias("previous"), F.timestamp_micros("next_t").alias("next"), ((F.col("next_t") - F.col("t")) / 1_000_000).cast("bigint").alias("elapsed_seconds"), missing.alias("missing_count"))
 

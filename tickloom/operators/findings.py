@@ -150,22 +150,43 @@ def summary(findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return out.select(*by, "category", "category_rank", F.coalesce("entries", F.lit(0)).alias("entries"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
+def utc_text(column: str, millis: bool = False) -> Column:
+    """``yyyy-MM-ddTHH:mm:ssZ``, or with three digits of fraction, whatever the session's time zone; null for null."""
+    us = F.unix_micros(F.col(column))
+    second = F.expr(f"unix_micros({column}) div 1000000 - if(pmod(unix_micros({column}), 1000000) <> 0 and unix_micros({column}) < 0, 1, 0)")
+    day = F.date_format(F.date_from_unix_date(F.floor(second / 86_400).cast("int")), "yyyy-MM-dd")
+    rest = F.pmod(second, F.lit(86_400))
+    two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
+    fraction = [F.lit("."), F.lpad(F.floor(F.pmod(us, F.lit(1_000_000)) / 1000).cast("int").cast("string"), 3, "0")] if millis else []
+    return F.concat(day, F.lit("T"), two(F.floor(rest / 3600)), F.lit(":"), two(F.floor(rest / 60) % 60), F.lit(":"), two(rest % 60), *fraction, F.lit("Z"))
+
+
+#: By kind of record the list of the contract's evidence that it belongs to; other kinds are the evidence's own fields.
+LISTS = {"TimeGapMissingReference": "missingCandleReferences", "DuplicateDifferingField": "differingFields", "DuplicateRow": "rows", "InvalidOhlcViolation": "violations", "MalformedFieldError": "fieldErrors", "MalformedSkippedCheck": "checksNotApplied"}
+#: The lists of each category's evidence, in order, which are there if empty too.
+LISTS_OF = {"TimeGap": ["missingCandleReferences"], "DuplicateRecord": ["differingFields", "rows"], "InvalidOhlc": ["violations"], "MalformedRow": ["fieldErrors", "checksNotApplied"]}
+
+
 def evidence(found: Catalog, candles: DataFrame, profile: str, timeframe: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(reference, kind, child_order, payload): every evidence record, its payload as JSON with a null for what doesn't apply.
+    """(reference, kind, child_order, payload): every evidence record, one row each, its payload as the contract's JSON without what doesn't apply.
 
     Records whose references needed a suffix are joined by line or instant through the findings, so they carry the same suffix."""
-    text = lambda *columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    text = lambda *columns: F.to_json(F.struct(*columns))
     out = []
 
     def give(df: DataFrame, reference: Column, kind: str, order: Column, payload: Column) -> None:
         out.append(df.select(*by, reference.alias("reference"), F.lit(kind).alias("kind"), order.cast("bigint").alias("child_order"), payload.alias("payload")))
 
     gaps, missing = found.sequence.gaps, found.sequence.missing
-    brackets = [F.col(c) for c in ("previous_observed", "next_observed", "previous_line", "next_line")]
-    frame = F.lit(timeframe).alias("timeframe")
-    give(missing, missing_reference(), "MissingCandle", F.lit(0), text(F.col("ts"), frame, gap_reference().alias("gap"), *brackets))
-    give(gaps, gap_reference(), "TimeGap", F.lit(-1), text(F.col("first_missing"), F.col("last_missing"), frame, F.col("missing_count"), F.col("elapsed_seconds"), *brackets))
-    give(missing, gap_reference(), "TimeGapMissingReference", F.col("child_order"), text(missing_reference().alias("missing")))
+    brackets = [
+        utc_text("previous_observed").alias("previousObservedTimestampUtc"), utc_text("next_observed").alias("nextObservedTimestampUtc"),
+        F.col("previous_line").alias("previousObservedSourceLine"), F.col("next_line").alias("nextObservedSourceLine"),
+    ]
+    frame = F.lit(timeframe).alias("expectedTimeframe")
+    give(missing, missing_reference(), "MissingCandle", F.lit(-1), text(utc_text("ts").alias("expectedTimestampUtc"), frame, gap_reference().alias("timeGapReference"), *brackets))
+    span = [utc_text("first_missing").alias("firstMissingTimestampUtc"), utc_text("last_missing").alias("lastMissingTimestampUtc")]
+    give(gaps, gap_reference(), "TimeGap", F.lit(-1), text(*span, frame, F.col("missing_count").alias("missingCandleCount"), F.col("elapsed_seconds").alias("elapsedSeconds"), *brackets))
+    give(missing, gap_reference(), "TimeGapMissingReference", F.col("child_order"), F.concat(F.lit('"'), missing_reference(), F.lit('"')))
     named = found.findings.select(*by, "category", "reference", F.col("ts").alias("_ts"), F.col("first_line").alias("_line"))
 
     def of(df: DataFrame, name: str, line: str) -> DataFrame:
@@ -175,23 +196,23 @@ def evidence(found: Catalog, candles: DataFrame, profile: str, timeframe: str, b
             same = same & df[k].eqNullSafe(own[k])
         return df.join(own.drop(*by) if not by else own, same).drop(*(own[k] for k in by))
 
+    code = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     groups = of(found.duplicates, "DuplicateRecord", "first_line")
-    give(groups, F.col("reference"), "DuplicateRecord", F.lit(-1), text(F.col("ts"), F.col("classification"), F.col("differing_fields")))
-    give(groups.select("*", F.posexplode("differing_fields").alias("_i", "field")), F.col("reference"), "DuplicateDifferingField", F.col("_i"), text(F.col("field")))
-    keys = groups.select(*by, "ts", "reference", F.size("differing_fields").alias("_fields"))
-    rows = candles.join(keys, [*by, "ts"])
-    order = F.row_number().over(Window.partitionBy(*by, "reference").orderBy("source_line")) - 1 + F.col("_fields")
+    give(groups, F.col("reference"), "DuplicateRecord", F.lit(-1), text(utc_text("ts").alias("sharedTimestampUtc"), F.col("classification")))
+    give(groups.select("*", F.posexplode("differing_fields").alias("_i", "field")), F.col("reference"), "DuplicateDifferingField", F.col("_i"), code(F.col("field")))
+    # Rows are told apart by their line, so no window over a group numbers them; they follow the fields.
+    rows = candles.join(groups.select(*by, "ts", "reference"), [*by, "ts"])
     values = [F.col(c) for c in checks.FIELDS]
-    give(rows.withColumn("_i", order), F.col("reference"), "DuplicateRow", F.col("_i"), text(F.col("source_line"), *values))
+    give(rows, F.col("reference"), "DuplicateRow", F.col("source_line"), text(F.col("source_line").alias("sourceLine"), *values))
     bad = of(found.violations, "InvalidOhlc", "source_line")
-    give(bad, F.col("reference"), "InvalidOhlc", F.lit(-1), text(*values))
-    give(bad.select("*", F.posexplode("violations").alias("_i", "violation")), F.col("reference"), "InvalidOhlcViolation", F.col("_i"), text(F.col("violation")))
+    give(bad, F.col("reference"), "InvalidOhlc", F.lit(-1), text(F.struct(*values).alias("observed")))
+    give(bad.select("*", F.posexplode("violations").alias("_i", "violation")), F.col("reference"), "InvalidOhlcViolation", F.col("_i"), code(F.col("violation")))
     shut = of(found.closed, "ClosedMarketRecord", "source_line")
-    give(shut, F.col("reference"), "ClosedMarketRecord", F.lit(0), text(F.lit(profile).alias("profile"), F.lit(profile.capitalize()).alias("calendar"), F.lit("RecurringClosedRule").alias("rule")))
+    give(shut, F.col("reference"), "ClosedMarketRecord", F.lit(-1), text(F.lit(profile).alias("marketProfile"), F.lit(profile.capitalize()).alias("calendarName"), F.lit("RecurringClosedRule").alias("closedRule")))
     if found.malformed is not None:
         lost = of(found.malformed, "MalformedRow", "source_line")
-        give(lost, F.col("reference"), "MalformedRow", F.lit(-1), text(F.col("source_line"), F.col("ts"), F.col("ts").isNotNull().alias("timestamp_parsed")))
-        give(lost, F.col("reference"), "MalformedFieldError", F.lit(0), text(F.lit("row").alias("field"), F.col("raw_text").alias("original_value"), F.lit("INVALID_VALUE").alias("reason_code"), F.col("reason")))
+        give(lost, F.col("reference"), "MalformedRow", F.lit(-1), text(utc_text("ts").alias("parsedTimestampUtc"), F.col("ts").isNotNull().alias("expectedSlotReserved")))
+        give(lost, F.col("reference"), "MalformedFieldError", F.lit(0), text(F.lit("row").alias("field"), F.col("raw_text").alias("originalValue"), F.lit("INVALID_VALUE").alias("reasonCode"), F.col("reason")))
         skipped = F.array(*(F.lit(s) for s in SKIPPED))
-        give(lost.select("*", F.posexplode(skipped).alias("_i", "check")), F.col("reference"), "MalformedSkippedCheck", F.col("_i") + 1, text(F.col("check")))
+        give(lost.select("*", F.posexplode(skipped).alias("_i", "check")), F.col("reference"), "MalformedSkippedCheck", F.col("_i"), code(F.col("check")))
     return reduce(DataFrame.unionByName, out)

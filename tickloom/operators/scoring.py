@@ -94,7 +94,7 @@ def _truncated(weight: Fraction) -> Fraction:
 def dataset_score(counts: dict[str, int], populations: dict[str, int | None], weights: dict[str, Fraction] | None = None) -> DatasetScore:
     """Scores and their weighted mean over the scored metrics; a null population is not applicable, one of zero is not scored.
 
-    Weights count to six decimals in the mean; each metric's normalised share is of the scored weights."""
+    Weights count to six decimals in the mean; each metric's normalised share, of 1, is of the scored weights."""
     weights = weights or {m: Fraction(1) for m in METRICS}
     scores: dict[str, tuple[str, Fraction | None]] = {}
     for m in METRICS:
@@ -103,7 +103,7 @@ def dataset_score(counts: dict[str, int], populations: dict[str, int | None], we
     used = {m: _truncated(weights[m]) for m in METRICS if scores[m][0] == SCORED}
     total = sum(used.values())
     average = sum(scores[m][1] * w for m, w in used.items()) / total if total else None
-    rows = tuple(MetricScore(m, scores[m][0], counts[m], populations[POPULATIONS[m]], scores[m][1], weights[m], 100 * used[m] / total if total and m in used else None) for m in METRICS)
+    rows = tuple(MetricScore(m, scores[m][0], counts[m], populations[POPULATIONS[m]], scores[m][1], weights[m], used[m] / total if total and m in used else None) for m in METRICS)
     return DatasetScore(rows, average)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.plans import table
 from tickloom.operators import copies, malformed, regular_grid, spikes, timestamps
+from tickloom.plans.problem_sql import ORACLE as ORACLE
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,22 +64,3 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_candles, p2_found, p2_reasons, p3_found, p4_found, p4_grid, p5_found, p5_cells)}
-
-_FIELDS = [f"c{i}" for i in range(2, 7)]
-_BLANKS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(160)"
-
-
-def _side_sql(name: str) -> str:
-    values = ", ".join(f"TRY_CAST(replace(trim({f}, {_BLANKS}), ',', '') AS DECIMAL(38,12)) AS {f}" for f in _FIELDS)
-    day = f"strftime(try_strptime(regexp_replace(trim(c0, {_BLANKS}), '[-./]', '', 'g'), '%Y%m%d'), '%Y.%m.%d')"
-    return f"SELECT DISTINCT ON (series_id, c0) * FROM (SELECT series_id, source_line, {day} AS c0, {values} FROM {name}) WHERE c0 IS NOT NULL ORDER BY series_id, c0, source_line"
-
-
-_UNEQUAL = " UNION ALL ".join(f"SELECT a.series_id, a.c0, '{f}' FROM a JOIN b ON a.series_id IS NOT DISTINCT FROM b.series_id AND a.c0 = b.c0 WHERE a.{f} IS DISTINCT FROM b.{f}" for f in _FIELDS)
-
-#: SQL for what DuckDB can express with reasonable effort; the other queries are tested against brute force.
-ORACLE = {
-    "p5_found": f"""WITH a AS ({_side_sql('audusd_d1_reference')}), b AS ({_side_sql('audusd_d1_candidate_coverage_gaps')})
- SELECT series_id, c0, 'missing_in_candidate' AS difference FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.series_id IS NOT DISTINCT FROM b.series_id AND a.c0 = b.c0)
- UNION ALL SELECT series_id, c0, 'missing_in_reference' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.series_id IS NOT DISTINCT FROM b.series_id AND a.c0 = b.c0) UNION ALL {_UNEQUAL}""",
-}

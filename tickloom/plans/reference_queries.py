@@ -8,10 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.numbers import parse_decimal
 from tickloom.functions.plans import table
 from tickloom.operators import calendars, checks, comparison, findings, scoring
-from tickloom.sources import events
+from tickloom.sources import csv_scan, events
 
 STEP_S = 60
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,21 +296,27 @@ _TEXT = """x AS (SELECT event_id + 1 AS line, CASE WHEN event_id % 41 = 0 THEN '
  (event_id // 3) || '.' || (event_id % 100) AS high, CASE WHEN event_id % 67 = 0 THEN '2024.02.30' WHEN event_id % 71 = 0 THEN '2024-01-05' ELSE strftime(ts, '%Y.%m.%d') END AS date, CASE WHEN event_id % 73 = 0 THEN '24:00' ELSE strftime(ts, '%H:%M') END AS time FROM events)"""
 
 
-@_query(f"WITH {_TEXT} SELECT CAST(max(greatest(len(split_part(open, '.', 2)), len(split_part(high, '.', 2)))) AS INT) AS scale FROM x WHERE regexp_full_match(open, '[0-9.]+')")
+_PARSED = f"""{_TEXT}, t AS (SELECT *, try_strptime(date || ' ' || time, '%Y.%m.%d %H:%M') AS ts,
+  CASE WHEN regexp_full_match(open, '\\s*([+-]\\s*)?([0-9][0-9,]*(\\.[0-9]*)?|\\.[0-9]+)\\s*') OR regexp_full_match(open, '\\s*([0-9][0-9,]*(\\.[0-9]*)?|\\.[0-9]+)\\s*[+-]\\s*') THEN 1 END AS number FROM x)"""
+
+
+def _parsed(spark: SparkSession, folder: str) -> DataFrame:
+    """The records as lines of a file without a header, through the scan's own parse."""
+    names = ["date", "time", *csv_scan.PRICES]
+    lines = events.texts(table(spark, folder, "events")).select("source_line", F.concat_ws(";", *names).alias("text"))
+    return csv_scan.parsed(lines, csv_scan.resolve_layout(names, csv_scan.CsvOptions()), ";", csv_scan.CsvOptions(tz_offset="+00:00"))
+
+
+@_query(f"WITH {_PARSED} SELECT CAST(max(greatest(len(split_part(regexp_replace(open, '[^0-9.]', '', 'g'), '.', 2)), len(split_part(high, '.', 2)))) AS INT) AS scale FROM t WHERE ts IS NOT NULL AND number = 1")
 def fractional_step(spark: SparkSession, folder: str) -> DataFrame:
-    rows = events.texts(table(spark, folder, "events")).where(F.col("open").rlike(r"^[0-9.]+$"))
-    rows = rows.select(*(F.col(n).alias(f"{n}_text") for n in ("open", "high", "low", "close")))
-    return comparison.fractional_step(rows).select("scale")
+    return comparison.fractional_step(_parsed(spark, folder).where(F.col("reason").isNull())).select("scale")
 
 
-@_query(f"""WITH {_TEXT}, t AS (SELECT *, try_strptime(date || ' ' || time, '%Y.%m.%d %H:%M') AS ts,
-  CASE WHEN regexp_full_match(open, '\\s*([+-]\\s*)?([0-9][0-9,]*(\\.[0-9]*)?|\\.[0-9]+)\\s*') OR regexp_full_match(open, '\\s*([0-9][0-9,]*(\\.[0-9]*)?|\\.[0-9]+)\\s*[+-]\\s*') THEN 1 END AS number FROM x)
- SELECT line AS source_line, CASE WHEN ts IS NULL THEN 'timestamp' ELSE 'open' END AS field FROM t WHERE ts IS NULL OR number IS NULL""")
+@_query(f"WITH {_PARSED} SELECT line AS source_line, CASE WHEN ts IS NULL THEN 'timestamp' ELSE 'open' END AS field FROM t WHERE ts IS NULL OR number IS NULL")
 def malformed_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = events.texts(table(spark, folder, "events"))
-    ts = F.when(F.col("date").rlike(r"^\d{4}\.\d{2}\.\d{2}$") & F.col("time").rlike(r"^([01]\d|2[0-3]):[0-5]\d$"), F.replace("date", F.lit("."), F.lit("-"))).try_cast("date")
-    field = F.when(ts.isNull(), "timestamp").when(parse_decimal(F.col("open")).isNull(), "open")
-    return rows.select("source_line", field.alias("field")).where(F.col("field").isNotNull())
+    rows = _parsed(spark, folder).where(F.col("reason").isNotNull())
+    return rows.select("source_line", F.when(F.col("reason").contains("timestamp"), "timestamp").otherwise("open").alias("field"))
+
 
 
 @_query(f"""WITH {_CANDLES}, t AS (SELECT ts, lead(ts) OVER (ORDER BY ts) AS next FROM (SELECT DISTINCT ts FROM c))

@@ -163,7 +163,6 @@ class ValidationService:
         self.uploads, self.runs = UploadStore(str(self.root / "uploads")), RunStore(str(self.root / "runs"))
         self.benchmarks = BenchmarkStore(spark, str(self.root / "benchmarks"))
         self.results: dict[str, Result] = {}
-        self.options: dict[str, RunOptions] = {}
         self.enqueue = enqueue or self.execute
 
     def submit(self, name: str, content: BinaryIO, operation: str = VALIDATE, options: RunOptions | None = None) -> tuple[str, bool]:
@@ -172,8 +171,8 @@ class ValidationService:
         check_options(operation, options)
         sha256, path = self.uploads.store(name, content)
         run = run_id(sha256, operation, options)
-        self.options[run] = options
-        if not self.runs.create(run, {"operation": operation, "path": path, "sha256": sha256, "name": safe_base_name(name)}):
+        record = {"operation": operation, "path": path, "sha256": sha256, "name": safe_base_name(name), "options": asdict(options)}
+        if not self.runs.create(run, record):
             return run, True
         self.enqueue(run)
         return run, False
@@ -191,7 +190,9 @@ class ValidationService:
         self.enqueue(run)
 
     def execute(self, run: str) -> None:
-        record, o = self.runs.move(run, RUNNING), self.options[run]
+        record = self.runs.move(run, RUNNING)
+        stored = dict(record["options"])
+        o = RunOptions(**stored | {"csv": CsvOptions(**stored["csv"])})
         try:
             made = run_operation(self.spark, record["path"], record["operation"], o, self.benchmarks)
         except Fatal as e:

@@ -8,10 +8,13 @@ import os
 import tempfile
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager, suppress
+from dataclasses import dataclass
+from decimal import Context, Decimal
 from fractions import Fraction
+from functools import reduce
 from typing import TextIO
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tickloom.operators import comparison, findings, scoring
@@ -39,30 +42,59 @@ def _counts(report: Report) -> list[int]:
     return [report.counts[c] for c in findings.NAMES]
 
 
-def _instant(column: str, pattern: str = "yyyy-MM-dd'T'HH:mm:ss'Z'") -> F.Column:
-    """UTC text of a timestamp whatever the session's zone."""
-    us = F.unix_micros(F.col(column))
-    day = F.date_format(F.date_from_unix_date(F.floor(us / 86_400_000_000).cast("int")), "yyyy-MM-dd")
-    rest = F.pmod(F.floor(us / 1_000_000).cast("bigint"), F.lit(86_400))
-    two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
-    return F.concat(day, F.lit("T"), two(F.floor(rest / 3600)), F.lit(":"), two(F.floor(rest / 60) % 60), F.lit(":"), two(rest % 60), F.lit("Z"))
+_instant = findings.utc_text
 
 
 def _ordered(report: Report) -> DataFrame:
     return report.catalog.findings.orderBy(*findings.canonical_order())
 
 
-def detailed_findings(report: Report) -> DataFrame:
-    """(reference, ..., evidence array, relationships array, source_lines array) in canonical order, one row per finding.
+@dataclass
+class Entry:
+    """A finding, and what belongs to it as iterators to be used up in this order."""
 
-    Evidence of a finding is what one report entry shows; it is collected per reference."""
-    evidence = report.evidence().groupBy("reference").agg(F.array_sort(F.collect_list(F.struct("child_order", "kind", "payload"))).alias("evidence"))
-    related = report.catalog.edges.groupBy(F.col("owner").alias("reference")).agg(F.array_sort(F.collect_set(F.struct("kind", "target"))).alias("relationships"))
-    doubles = report.catalog.duplicates.select("ts", F.lit("DuplicateRecord").alias("category"), "first_line")
-    lines = report.prepared.candles.join(doubles, "ts").groupBy("ts", "category").agg(F.array_sort(F.collect_list("source_line")).alias("_lines"))
-    out = report.catalog.findings.join(evidence, "reference", "left").join(related, "reference", "left").join(lines, ["ts", "category"], "left")
-    single = F.when(F.col("first_line").isNotNull(), F.array("first_line")).otherwise(F.array().cast("array<bigint>"))
-    return out.withColumn("source_lines", F.coalesce("_lines", single)).withColumn("at", _instant("ts")).orderBy(*findings.canonical_order())
+    finding: Row
+    lines: Iterator[int]
+    evidence: Iterator[tuple[str, str]]
+    links: Iterator[tuple[str, str]]
+
+
+def entries(report: Report) -> Iterator[Entry]:
+    """Every finding in canonical order with its lines, evidence and relationships, merged from one sorted stream of small rows.
+
+    Each row is one finding, line, evidence record or edge, so neither a task nor the driver holds all that belongs to a finding."""
+    places = findings.positioned(report.catalog.findings)
+    head = F.struct("reference", "category", "title", "explanation", "count_contribution", "evidence_kind", "suggested_action", _instant("ts").alias("at"), "first_line")
+    keys = places.select("reference", "position")
+    rows = [places.select("position", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("item"), F.lit("").alias("kind"), F.lit("").alias("text"), head.alias("head"))]
+    none = F.lit(None).cast(rows[0].schema["head"].dataType).alias("head")
+
+    def give(df: DataFrame, part: Column, item: Column, kind: Column, text: Column) -> None:
+        rows.append(df.select("position", part.alias("part"), item.cast("bigint").alias("item"), kind.alias("kind"), text.alias("text"), none))
+
+    records = report.evidence().join(keys, "reference")
+    double = records.where(F.col("kind") == "DuplicateRow")
+    give(double, F.lit(1), F.col("child_order"), F.lit("line"), F.col("child_order").cast("string"))
+    give(places.where((F.col("category") != "DuplicateRecord") & F.col("first_line").isNotNull()), F.lit(1), F.col("first_line"), F.lit("line"), F.col("first_line").cast("string"))
+    later = F.col("kind").isin("DuplicateRow", "MalformedSkippedCheck")
+    give(records, F.when(F.col("child_order") < 0, 2).when(later, 4).otherwise(3), F.col("child_order"), F.col("kind"), F.col("payload"))
+    edges = report.catalog.edges.select(F.col("owner").alias("reference"), F.col("kind").alias("link"), "target").distinct().join(keys, "reference")
+    give(edges, F.lit(5), F.lit(0), F.col("link"), F.col("target"))
+    stream = reduce(DataFrame.unionByName, rows).orderBy("position", "part", "item", "kind", "text").toLocalIterator()
+    ahead = next(stream, None)
+
+    def parts(position: int, first: int, last: int) -> Iterator[Row]:
+        nonlocal ahead
+        while ahead is not None and ahead["position"] == position and first <= ahead["part"] <= last:
+            row, ahead = ahead, next(stream, None)
+            yield row
+
+    while ahead is not None:
+        row, ahead = ahead, next(stream, None)
+        at = row["position"]
+        yield Entry(row["head"], (int(r["text"]) for r in parts(at, 1, 1)), ((r["kind"], r["text"]) for r in parts(at, 2, 4)), ((r["kind"], r["text"]) for r in parts(at, 5, 5)))
+        for _ in parts(at, 1, 5):  # what wasn't used
+            pass
 
 
 def text_v1(report: Report, verbose: bool = False) -> Iterator[str]:
@@ -81,10 +113,9 @@ def json_v1(report: Report) -> Iterator[str]:
     span = None if p.first_ts is None else {"from": utc(p.first_ts, True), "to": utc(p.last_ts, True)}
     head = {"sourceFile": p.identity.file_name, "detectedTimeframe": str(report.timeframe), "totalRecords": p.accepted, "dateRange": span, "summary": dict(zip(_KEYS, _counts(report), strict=True)), "isClean": report.clean}
     yield json.dumps(head)[:-1] + ', "findings": ['
-    rows = _ordered(report).select("category", _instant("ts").alias("at"), "first_line", "explanation").toLocalIterator()
+    rows = _ordered(report).select("category", _instant("ts", millis=True).alias("at"), "first_line", "explanation").toLocalIterator()
     for i, r in enumerate(rows):
-        at = None if r["at"] is None else r["at"][:-1] + ".000Z"
-        yield ("," if i else "") + json.dumps({"category": r["category"], "timestamp": at, "line": r["first_line"], "message": r["explanation"]})
+        yield ("," if i else "") + json.dumps({"category": r["category"], "timestamp": r["at"], "line": r["first_line"], "message": r["explanation"]})
     yield "]}"
 
 
@@ -96,13 +127,56 @@ def context(report: Report) -> dict:
     return {"timeframe": str(report.timeframe), "calendar": {"profile": report.profile, "name": report.profile.capitalize()}, "timestamp": stamp | {"sourceOffset": o.tz_offset}, "delimiter": p.delimiter, "hasHeader": o.has_header, "dateRange": span}
 
 
+class Raw(float):
+    """A number that JSON shows as it is written here, such as 0.50."""
+
+    def __new__(cls, text: str):
+        made = super().__new__(cls, text)
+        made.text = text
+        return made
+
+    def __repr__(self) -> str:
+        return self.text
+
+
+def _raw(value: Fraction | None, digits: int = 2) -> Raw | None:
+    return None if value is None else Raw(scoring.shown(value, digits))
+
+
+def _given(**fields: object) -> dict:
+    """What applies."""
+    return {k: v for k, v in fields.items() if v is not None}
+
+
+def _excluded(m: scoring.MetricScore) -> str | None:
+    return None if m.state == scoring.SCORED else "no expected sequence" if m.population is None else "the population is zero"
+
+
 def _score_json(report: Report) -> dict:
-    metrics = [{"metric": m.metric, "state": m.state, "count": m.count, "population": m.population, "score": scoring.shown(m.score), "weight": weight_text(m.weight), "share": scoring.shown(m.share)} for m in report.score.metrics]
-    return {"metrics": metrics, "datasetAverage": scoring.shown(report.score.average), "metricsCovered": sum(m.state == scoring.SCORED for m in report.score.metrics)}
+    """The names of the contract's scoring section."""
+    score, names = report.score, dict(zip(scoring.METRICS, findings.NAMES, strict=True))
+    kinds = {"expected_candles": "ExpectedCandles", "accepted_rows": "AcceptedRows", "examined_rows": "ExaminedRows"}
+    metrics, weights, out = [], [], []
+    for m in score.metrics:
+        weight, share, why = Raw(weight_text(m.weight)), _raw(m.share), _excluded(m)
+        base = {"category": names[m.metric], "state": m.state, "count": m.count, "populationKind": kinds[scoring.POPULATIONS[m.metric]]}
+        metrics.append(base | _given(population=m.population, score=_raw(m.score), reason=why, weight=weight, normalisedShare=share))
+        weights.append({"category": names[m.metric], "weight": weight} | _given(normalisedShare=share))
+        if why:
+            out.append({"category": names[m.metric], "state": m.state, "reason": why})
+    covered = [names[m.metric] for m in score.metrics if m.state == scoring.SCORED]
+    missing = None if score.average is not None else "no scored metric has a weight"
+    dataset = {"available": score.average is not None} | _given(average=_raw(score.average)) | {"metricsCovered": len(covered), "coveredCategories": covered, "excludedMetrics": out} | _given(unavailableReason=missing)
+    return {
+        "scale": {"minimum": 0, "maximum": 100, "higherIsBetter": True, "decimalPlaces": 2},
+        "metrics": metrics,
+        "weighting": {"source": "Explicit" if report.weights else "Default", "weights": weights},
+        "dataset": dataset,
+    }
 
 
 def json_v2(report: Report, compared: Comparison | None = None) -> Iterator[str]:
-    """The full report, each finding with its evidence and relationships."""
+    """The full report, each finding with its evidence and relationships, written as the rows come."""
     p = report.prepared
     head = {
         "contractVersion": 2,
@@ -113,21 +187,42 @@ def json_v2(report: Report, compared: Comparison | None = None) -> Iterator[str]
         "coverage": {"physicalRowsExamined": p.examined, "acceptedRows": p.accepted, "malformedRows": p.rejected},
         "checks": [{"check": c, "status": s} | ({} if s == COMPLETED else {"reason": why}) for c, (s, why) in report.checks.items()],
         "summary": dict(zip(_KEYS, _counts(report), strict=True)),
-        "reconciliation": {"coverageReconciled": True, "categories": [{"category": c, "summaryCount": report.counts[c], "entryCount": report.entries[c], "contributionSum": report.counts[c]} for c in findings.NAMES]},
+        "reconciliation": {"coverageReconciled": report.coverage_reconciled, "categories": [{"category": c, "summaryCount": report.counts[c], "entryCount": report.entries[c], "contributionSum": report.contributions[c]} for c in findings.NAMES]},
     }
     yield json.dumps(head)[:-1] + ', "findings": ['
-    for i, r in enumerate(detailed_findings(report).toLocalIterator()):
-        place = {"sourceLines": list(r["source_lines"])} | ({} if r["at"] is None else {"timestampUtc": r["at"]})
-        records = [{"kind": e["kind"], "childOrder": e["child_order"]} | json.loads(e["payload"]) for e in r["evidence"] or []]
-        links = [{"kind": x["kind"], "targetReference": x["target"]} for x in r["relationships"] or []]
-        entry = {"reference": r["reference"], "category": r["category"], "title": r["title"], "explanation": r["explanation"], "countContribution": r["count_contribution"], "location": place, "evidence": {"kind": r["evidence_kind"], "records": records}, "relationships": links, "suggestedAction": r["suggested_action"]}
-        yield ("," if i else "") + json.dumps(entry, ensure_ascii=False)
-    tail = "]"
+    text = lambda x: json.dumps(x, ensure_ascii=False)
+    for i, e in enumerate(entries(report)):
+        f = e.finding
+        fixed = {"reference": f["reference"], "category": f["category"], "title": f["title"], "explanation": f["explanation"], "countContribution": f["count_contribution"]}
+        yield ("," if i else "") + text(fixed)[:-1] + ', "location": {"sourceLines": ['
+        for n, line in enumerate(e.lines):
+            yield f"{',' if n else ''}{line}"
+        yield "]" + ("" if f["at"] is None else f', "timestampUtc": "{f["at"]}"') + '}, "evidence": {"kind": ' + text(f["evidence_kind"])
+        left, current, n = list(findings.LISTS_OF.get(f["category"], ())), None, 0
+        for kind, payload in e.evidence:
+            name = findings.LISTS.get(kind)
+            if name is None:  # the evidence's own fields
+                yield "" if payload == "{}" else ", " + payload[1:-1]
+                continue
+            while current != name:
+                yield ("]" if current else "") + f', "{left[0]}": ['
+                current, n = left.pop(0), 0
+            yield ("," if n else "") + payload
+            n += 1
+        while left:
+            yield ("]" if current else "") + f', "{left[0]}": ['
+            current = left.pop(0)
+        yield ("]" if current else "") + '}, "relationships": ['
+        for n, (kind, target) in enumerate(e.links):
+            yield ("," if n else "") + text({"kind": kind, "targetReference": target})
+        yield '], "suggestedAction": ' + text(f["suggested_action"]) + "}"
+    yield "]"
     if report.score:
-        tail += ', "scoring": ' + json.dumps(_score_json(report))
+        yield ', "scoring": ' + json.dumps(_score_json(report))
     if compared:
-        tail += ', "benchmarkComparison": ' + json.dumps(comparison_section(compared))
-    yield tail + "}"
+        yield ', "benchmarkComparison": '
+        yield from comparison_json(compared)
+    yield "}"
 
 
 def weight_text(weight: Fraction) -> str:
@@ -168,16 +263,52 @@ def verbose_text(report: Report) -> Iterator[str]:
     for check, (state, why) in report.checks.items():
         yield f"Check {check}: {state}" + (f" (reason: {why})" if why else "")
     for c in findings.NAMES:
-        yield f"Reconciliation {c}: summary={report.counts[c]}; entries={report.entries[c]}; contributions={report.counts[c]}"
-    for r in detailed_findings(report).toLocalIterator():
+        yield f"Reconciliation {c}: summary={report.counts[c]}; entries={report.entries[c]}; contributions={report.contributions[c]}"
+    for e in entries(report):
+        f = e.finding
         yield ""
-        yield f"[{r['reference']}] {r['category']}: {r['title']}"
-        yield f"  {r['explanation']} count={r['count_contribution']}; lines={','.join(map(str, r['source_lines'])) or 'n/a'}; timestamp={r['at'] or 'n/a'}"
-        for e in r["evidence"] or []:
-            yield f"  {e['kind']}: {e['payload']}"
-        for x in r["relationships"] or []:
-            yield f"  {x['kind']}: {x['target']}"
-        yield f"  Action: {r['suggested_action']}"
+        yield f"[{f['reference']}] {f['category']}: {f['title']}"
+        yield f"  {f['explanation']} count={f['count_contribution']}; timestamp={f['at'] or 'n/a'}"
+        n = 0
+        for n, line in enumerate(e.lines, 1):  # one line of text each, as there may be any number
+            yield f"  sourceLine={line}"
+        if not n:
+            yield "  sourceLine=n/a"
+        for kind, payload in e.evidence:
+            yield f"  evidence: {evidence_line(kind, json.loads(payload))}"
+        for kind, target in e.links:
+            yield f"  relationship: kind={kind}; target={target}"
+        yield f"  Action: {f['suggested_action']}"
+
+
+#: The label before a record, and the fields of each kind in order, those in quotes marked.
+_LABELS = {"TimeGapMissingReference": "missingCandleReference", "DuplicateDifferingField": "differingField", "InvalidOhlcViolation": "violation", "MalformedSkippedCheck": "checkNotApplied"}
+_BRACKETS = ["previousObservedTimestampUtc", "nextObservedTimestampUtc", "previousObservedSourceLine", "nextObservedSourceLine"]
+_PRICES = ["open", "high", "low", "close", "volume"]
+_RECORDS = {
+    "MissingCandle": ("", ["expectedTimestampUtc", "expectedTimeframe", "timeGapReference", *_BRACKETS]),
+    "TimeGap": ("", ["firstMissingTimestampUtc", "lastMissingTimestampUtc", "expectedTimeframe", "missingCandleCount", "elapsedSeconds", *_BRACKETS]),
+    "DuplicateRecord": ("", ["sharedTimestampUtc", "classification"]),
+    "DuplicateRow": ("row: ", ["sourceLine", "originalTimestampText*", *_PRICES]),
+    "InvalidOhlc": ("observed: ", _PRICES),
+    "ClosedMarketRecord": ("", ["marketProfile*", "calendarName*", "calendarTimeZone*", "closedRule*", "closedFromUtc", "nextOpenUtc"]),
+    "MalformedRow": ("", ["parsedTimestampUtc", "originalTimestampText*", "expectedSlotReserved"]),
+    "MalformedFieldError": ("fieldError: ", ["field*", "originalValue*", "reasonCode", "reason*"]),
+}
+
+
+def evidence_line(kind: str, payload: object) -> str:
+    """One evidence record as text; what doesn't apply is n/a."""
+    if kind in _LABELS:
+        return f"{_LABELS[kind]}={quoted(payload) if kind == 'DuplicateDifferingField' else payload}"
+    label, names = _RECORDS[kind]
+    fields = payload.get("observed", payload)
+
+    def shown(name: str) -> str:
+        value = fields.get(name.rstrip("*"))
+        return "n/a" if value is None else quoted(value) if name.endswith("*") else str(value).lower() if isinstance(value, bool) else str(value)
+
+    return label + "; ".join(f"{n.rstrip('*')}={shown(n)}" for n in names)
 
 
 def fatal_json(error: Fatal, source: dict | None = None) -> str:
@@ -216,23 +347,65 @@ class Comparison:
     def _warnings(self) -> list[str]:
         s, p = self.snapshot, self.candidate.prepared
         pairs = [("calendar", s.profile, self.candidate.profile), ("source offset", s.options["tz_offset"], p.options.tz_offset), ("header", s.options["has_header"], p.options.has_header), ("timestamp format", s.options["timestamp_format"], p.options.timestamp_format)]
+        mode = lambda o: "separate date and time" if not (o["timestamp_format"] or o["timestamp_column"]) else "combined"
+        pairs.append(("timestamp mode", mode(s.options), mode(vars(p.options))))
+        span = lambda side: self.pairs.where(F.col(side).isNotNull()).agg(F.min("ts").alias("a"), F.max("ts").alias("z")).first()
+        ranges = [f"{utc(r['a'])} to {utc(r['z'])}" if r["a"] else "none" for r in (span("b"), span("c"))]
+        pairs.append(("date range", *ranges))
         return [f"The {what} differs: {a} and {b}." for what, a, b in pairs if a != b]
 
 
-def comparison_section(c: Comparison) -> dict:
-    """The comparison as JSON; discrepancies are read row by row."""
-    at = lambda v: utc(v)
-    rows = c.discrepancies.toLocalIterator()
-    listed = [{"timestampUtc": at(r["ts"]), "field": r["field"], "benchmarkValue": f"{r['benchmark_value']:f}", "candidateValue": f"{r['candidate_value']:f}", "difference": f"{r['difference']:f}", "directionalDifference": f"{r['directional_difference']:f}", "candidateSourceLine": r["candidate_line"], "decision": r["decision"]} for r in rows]
-    return {
+def _share(part: int, whole: int) -> str | None:
+    """A quotient as decimal text of up to 28 digits, or null."""
+    return format(Context(prec=28).divide(Decimal(part), Decimal(whole)), "f") if whole else None
+
+
+def _records(c: Comparison, status: str, side: str, key: str) -> Iterator[dict]:
+    rows = c.pairs.where(F.col("status") == status).select("ts", _instant("ts").alias("at"), F.col(f"{side}.source_line").alias("line")).orderBy("ts")
+    return ({"timestampUtc": r["at"]} | _given(**{key: r["line"]}) for r in rows.toLocalIterator())
+
+
+def comparison_json(c: Comparison) -> Iterator[str]:
+    """The comparison's section, written as the rows come. Its names."""
+    k, p = c.coverage, c.candidate.prepared
+    bench, cand = k["matched"] + k["missing"], k["matched"] + k["extra"]
+    span = None if k["overlap_start"] is None else {"start": utc(k["overlap_start"]), "end": utc(k["overlap_end"])}
+    tolerances = {t.field: t for t in c.tolerances}
+    head = {
+        "contractVersion": 1,
         "benchmark": {"name": c.snapshot.name, "instrument": c.snapshot.instrument, "source": c.snapshot.source},
-        "coverage": {"matched": c.coverage["matched"], "missingFromCandidate": c.coverage["missing"], "extraInCandidate": c.coverage["extra"], "overlapStart": at(c.coverage["overlap_start"]), "overlapEnd": at(c.coverage["overlap_end"])},
-        "tolerances": [{"field": t.field, "enabled": t.enabled, "absolute": f"{t.absolute:f}", "relative": f"{t.relative:f}"} for t in c.tolerances],
-        "toleratedSummary": [c.tolerated[f] for f in comparison.FIELDS if f in c.tolerated],
-        "materialDiscrepancies": listed,
-        "warnings": c.warnings,
-        "agreement": {"score": scoring.shown(c.score), "matched": c.matched, "materialTimestamps": c.material_instants, "reason": None if c.matched else "No overlapping timestamps."},
-    }
+        "candidateIdentity": {"instrument": c.instrument, "source": {"fileName": p.identity.file_name, "byteSize": p.identity.byte_size, "sha256": p.identity.sha256}, "context": context(c.candidate)},
+        "configuration": {"tolerances": [{"field": t.field, "enabled": t.enabled, "absolute": f"{t.absolute:f}", "relative": f"{t.relative:f}"} for t in c.tolerances]},
+        "comparisonCoverage": {
+            "benchmarkRecordCount": bench, "candidateRecordCount": cand, "matchedCount": k["matched"], "missingFromCandidateCount": k["missing"], "extraInCandidateCount": k["extra"],
+            "matchedBenchmarkRate": _share(k["matched"], bench), "missingBenchmarkRate": _share(k["missing"], bench), "matchedCandidateRate": _share(k["matched"], cand), "extraCandidateRate": _share(k["extra"], cand),
+        } | _given(overlappingRange=span),
+    }
+    yield json.dumps(head)[:-1]
+    missing, extra = (comparison.MISSING, "b", "benchmarkSourceLine"), (comparison.EXTRA, "c", "candidateSourceLine")
+    for name, (status, side, key), bare in (("missingFromCandidateTimestamps", missing, True), ("extraInCandidateTimestamps", extra, True), ("missingFromCandidateRecords", missing, False), ("extraInCandidateRecords", extra, False)):
+        yield f', "{name}": ['
+        for i, r in enumerate(_records(c, status, side, key)):
+            yield ("," if i else "") + json.dumps(r["timestampUtc"] if bare else r)
+        yield "]"
+    yield ', "contextWarnings": ' + json.dumps(c.warnings) + ', "materialDiscrepancies": ['
+    for i, r in enumerate(c.discrepancies.toLocalIterator()):
+        t = tolerances[r["field"]]
+        row = {"timestampUtc": utc(r["ts"]), "field": r["field"], "benchmarkValue": f"{r['benchmark_value']:f}", "candidateValue": f"{r['candidate_value']:f}", "difference": f"{r['difference']:f}", "directionalDifference": f"{r['directional_difference']:f}", "resolvedAbsoluteTolerance": f"{t.absolute:f}", "resolvedRelativeTolerance": f"{t.relative:f}", "toleranceDecision": r["decision"]}
+        yield ("," if i else "") + json.dumps(row | _given(candidateSourceLine=r["candidate_line"]))
+    summary = []
+    for f in comparison.FIELDS:
+        if t := c.tolerated.get(f):
+            accepted, total = t["accepted_by_absolute"] + t["accepted_by_relative"], t["total_compared"]
+            summary.append({"field": f, "totalCompared": total, "acceptedCount": accepted, "acceptedByAbsoluteCount": t["accepted_by_absolute"], "acceptedByRelativeCount": t["accepted_by_relative"], "materialCount": t["material"], "toleratedRate": _share(accepted, total), "materialRate": _share(t["material"], total)})
+    exact = None if c.score is None else {"exact": f"{c.score.numerator}/{c.score.denominator}", "rounded": scoring.shown(c.score)}
+    agreement = {"score": exact, "formula": AGREEMENT_FORMULA, "matchedPopulation": c.matched, "materialDiscrepancyTimestamps": c.material_instants} | _given(unavailableReason=None if c.matched else "No overlapping timestamps.")
+    yield '], "toleratedSummary": ' + json.dumps(summary) + ', "agreementScore": ' + json.dumps(agreement)
+    yield ', "candidateScore": ' + json.dumps(_score_json(c.candidate) if c.candidate.score else None) + "}"
+
+
+#: Fixed value: how the agreement is computed.
+AGREEMENT_FORMULA = "100 × (matchedPopulation - materialDiscrepancyTimestamps) / matchedPopulation"
 
 
 def rate(part: int, whole: int) -> str:

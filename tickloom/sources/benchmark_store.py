@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import json
+import os
 import re
-import shutil
 import unicodedata
 import uuid
 from dataclasses import dataclass
 from fractions import Fraction
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.operators import scoring
 from tickloom.sources.csv_scan import CsvOptions, fingerprint
+from tickloom.sources.storage import Folder
 from tickloom.validation import NOT_COMPLETED, Fatal, Report
 
 CONTRACT_VERSION = 1
@@ -71,40 +71,39 @@ def snapshot(name: str, instrument: str, report: Report) -> Snapshot:
     p, o = report.prepared, report.prepared.options
     options = {k: getattr(o, k) for k in CsvOptions.__dataclass_fields__}
     scores = {m.metric: {"state": m.state, "count": m.count, "population": m.population, "score": exact(m.score)} for m in report.score.metrics}
-    return Snapshot(safe_name(name), instrument, str(report.timeframe), report.profile, dict(vars(p.identity)), options, {"examined": p.examined, "accepted": p.accepted, "malformed": p.rejected}, dict(report.counts), scores, exact(report.score.average))
+    return Snapshot(safe_name(name), instrument, str(report.timeframe), report.profile, {k: v for k, v in vars(p.identity).items() if k != "modified"}, options, {"examined": p.examined, "accepted": p.accepted, "malformed": p.rejected}, dict(report.counts), scores, exact(report.score.average))
 
 
 class BenchmarkStore:
-    """One folder per benchmark below ``root``. Saving fails if the name is taken and leaves nothing behind if it breaks off."""
+    """One folder per benchmark below ``root``, any path that Spark takes. Saving fails if the name is taken and leaves nothing behind
+    if it breaks off."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
-
-    def _at(self, name: str) -> Path:
-        return self.root / safe_name(name)
+        self.spark, self.files = spark, Folder(spark, root)
 
     def exists(self, name: str) -> bool:
-        return (self._at(name) / "benchmark.json").is_file()
+        return self.files.exists(f"{safe_name(name)}/benchmark.json")
 
     def names(self) -> list[str]:
-        return sorted((p.parent.name for p in self.root.glob("*/benchmark.json")), key=str.lower)
+        return sorted((n for n in self.files.names() if not n.startswith(".") and self.files.exists(f"{n}/benchmark.json")), key=str.lower)
 
     def save(self, name: str, instrument: str, report: Report, source_path: str) -> Snapshot:
         if why := eligible(report):
             raise Fatal("INVALID_ARGUMENT", why)
         if self.exists(name):
             raise Fatal("INVALID_ARGUMENT", f"Benchmark {safe_name(name)} exists already.")
-        if fingerprint(source_path) != report.prepared.identity:
+        if fingerprint(self.spark, source_path).sha256 != report.prepared.identity.sha256:
             raise Fatal("SOURCE_CHANGED", "The source changed during the run.")
-        made, staged = snapshot(name, instrument, report), self.root / f".{safe_name(name)}-{uuid.uuid4().hex}"
-        staged.mkdir(parents=True)
+        made, staged = snapshot(name, instrument, report), f".{safe_name(name)}-{uuid.uuid4().hex}"
+        self.files.make(staged)
         try:
-            report.prepared.candles.write.parquet(str(staged / "candles"))
-            shutil.copyfile(source_path, staged / "source.csv")
-            (staged / "benchmark.json").write_text(json.dumps(vars(made), indent=1), encoding="utf-8")
-            staged.rename(self._at(name))
+            report.prepared.candles.write.parquet(self.files.path(f"{staged}/candles"))
+            self.files.copy_from(os.path.abspath(source_path) if "://" not in source_path else source_path, f"{staged}/source.csv")
+            self.files.write(f"{staged}/benchmark.json", json.dumps(vars(made), indent=1))
+            if not self.files.rename(staged, safe_name(name)):
+                raise Fatal("INVALID_ARGUMENT", f"Benchmark {safe_name(name)} exists already.")
         except BaseException:
-            shutil.rmtree(staged, ignore_errors=True)
+            self.files.delete(staged)
             raise
         return made
 
@@ -112,18 +111,18 @@ class BenchmarkStore:
         """The snapshot and its candles; the stored source must still have its fingerprint."""
         if not self.exists(name):
             raise Fatal("INVALID_ARGUMENT", f"There is no benchmark {safe_name(name)}.")
-        at = self._at(name)
-        data = json.loads((at / "benchmark.json").read_text(encoding="utf-8"))
+        at = safe_name(name)
+        data = json.loads(self.files.read(f"{at}/benchmark.json"))
         if data.get("contract_version") != CONTRACT_VERSION or set(data) != set(Snapshot.__dataclass_fields__):
             raise Fatal("INVALID_STRUCTURE", "The snapshot is of another version.")
         for s in data["scores"].values():
             read_exact(s["score"])
         read_exact(data["average"])
-        if fingerprint(str(at / "source.csv")).sha256 != data["source"]["sha256"]:
+        if fingerprint(self.spark, self.files.path(f"{at}/source.csv")).sha256 != data["source"]["sha256"]:
             raise Fatal("SOURCE_CHANGED", "The benchmark's source was changed.")
-        return Snapshot(**data), self.spark.read.parquet(str(at / "candles"))
+        return Snapshot(**data), self.spark.read.parquet(self.files.path(f"{at}/candles"))
 
     def delete(self, name: str) -> None:
         if not self.exists(name):
             raise Fatal("INVALID_ARGUMENT", f"There is no benchmark {safe_name(name)}.")
-        shutil.rmtree(self._at(name))
+        self.files.delete(safe_name(name))

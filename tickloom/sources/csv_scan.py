@@ -1,8 +1,8 @@
 """A delimited candle file as DataFrames: accepted candles, malformed rows, coverage and identity.
 
 Files are read in byte ranges: one pass counts line feeds per range, small prefix sums number the lines, and a second pass reads
-the ranges, so a file of any size gets physical line numbers without a single task reading it whole. A record is one physical
-line: line feeds inside quotes aren't supported. Blank lines are skipped but counted in the numbering.
+the ranges, so a file of any size gets physical line numbers without a single task reading it whole. Line feeds inside quotes belong
+to their record. Blank lines are skipped but counted in the numbering.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -173,13 +174,19 @@ def _files(path: str) -> list[tuple[str, int]]:
         return [(path, info.size)]
     found = fs.get_file_info(pafs.FileSelector(at, recursive=True))
     prefix = path[: path.index("://") + 3] if "://" in path else ""
-    return sorted((prefix + f.path if prefix and "://" not in f.path else f.path, f.size) for f in found if f.type == pafs.FileType.File)
+    return sorted((prefix + f.path if prefix and "://" not in f.path else f.path, f.size) for f in found if f.type == pafs.FileType.File and not os.path.basename(f.path).startswith(("_", ".")))
+
+
+#: Why a line can't be read at all.
+ENCODING, QUOTING = "encoding", "quoting"
 
 
 def numbered_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(path, source_line, text) of every physical line of a file or folder, numbered from 1 within its file.
+    """(path, source_line, text, broken) of every record of a file or folder, numbered by the physical line on which it begins.
 
-    A final carriage return and a leading byte order mark are removed; bytes that are no UTF-8 become U+FFFD."""
+    Line feeds between an odd and an even quote belong to the record. A final carriage return and a leading byte order mark are removed.
+    ``broken`` says what is wrong with the bytes: no UTF-8, or a quote that is open where the file ends. Each range is read twice: a first
+    pass counts line feeds and quotes, so that a range knows its first line's number and whether it begins inside quotes."""
     ranges = [(p, start, min(start + range_bytes, size)) for p, size in _files(path) for start in range(0, size, range_bytes)]
     table = spark.createDataFrame(ranges, "path string, start bigint, stop bigint").repartition(max(1, len(ranges)))
 
@@ -190,88 +197,124 @@ def numbered_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTE
                 fs, at = _filesystem(r["path"])
                 with fs.open_input_file(at) as f:
                     f.seek(r["start"])
-                    left, n = r["stop"] - r["start"], 0
+                    left, feeds, quotes = r["stop"] - r["start"], 0, 0
                     while left > 0 and (block := f.read(min(left, READ_BYTES))):
-                        n, left = n + block.count(b"\n"), left - len(block)
-                r["feeds"] = n
+                        feeds, quotes, left = feeds + block.count(b"\n"), quotes + block.count(b'"'), left - len(block)
+                r["feeds"], r["quotes"] = feeds, quotes
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("feeds", pa.int64())]))
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("start", "stop", "feeds", "quotes"))]))
 
-    fed = table.mapInArrow(counts, "path string, start bigint, stop bigint, feeds bigint")
+    fed = table.mapInArrow(counts, "path string, start bigint, stop bigint, feeds bigint, quotes bigint")
     # One row per range of a file; the window over a file's ranges is as small as its number of ranges.
-    placed = fed.withColumn("before", F.sum("feeds").over(Window.partitionBy("path").orderBy("start")) - F.col("feeds"))
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = fed.select("path", "start", "stop", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("feeds", "quotes")))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("source_line", pa.int64()), ("text", pa.string())])
         for batch in batches:
             for r in batch.to_pylist():
                 fs, at = _filesystem(r["path"])
                 with fs.open_input_file(at) as f:
-                    yield from _read_range(f, r, schema)
+                    yield from _batches(r["path"], _records(f, r["start"], r["stop"], r["feeds"] + 1, r["quotes"] % 2 == 1))
 
-    return placed.repartition(max(1, len(ranges)), "path", "start").mapInArrow(lines, "path string, source_line bigint, text string")
+    return placed.repartition(max(1, len(ranges)), "path", "start").mapInArrow(lines, "path string, source_line bigint, text string, broken string")
 
 
-def _read_range(f: pa.NativeFile, r: dict, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The lines that begin in the range; the last one is read to its end beyond it."""
-    f.seek(max(0, r["start"] - 1))
-    position = max(0, r["start"] - 1)
-    number, rest, skip = r["before"] + 1, b"", r["start"] > 0
-    out: list[bytes] = []
+def _records(f: pa.NativeFile, start: int, stop: int, number: int, quoted: bool) -> Iterator[tuple[int, bytes, bool]]:
+    """(line number, bytes, whether a quote is left open) of the records that begin in the range; the last is read to its end beyond it.
+
+    ``number`` is that of the line in which the range begins, ``quoted`` whether its first byte lies between quotes."""
+    before = b"\n"
+    if start:
+        f.seek(start - 1)
+        before = f.read(1)
+    else:
+        f.seek(0)
+    skip = quoted or before != b"\n"  # the rest of a record that began earlier
+    position, record, first, rest = start, [], number, b""
     while True:
         block = f.read(READ_BYTES)
-        rest += block
-        parts = rest.split(b"\n")
+        parts = (rest + block).split(b"\n")
         rest = parts.pop() if block else b""
-        for part in parts:
-            begins = position
-            position += len(part) + 1
-            if skip:  # the end of a line of the range before, or nothing if that ended with a line feed
-                skip, number = False, number + (part != b"" or begins >= r["start"])
-                continue
-            if begins >= r["stop"] or (not block and part is parts[-1] and part == b""):
-                break
-            out.append(part)
-        else:
-            if block:
-                if len(out) >= 50_000:
-                    yield _lines(r["path"], number, out, schema)
-                    number, out = number + len(out), []
-                continue
-        break
-    if out:
-        yield _lines(r["path"], number, out, schema)
-
-
-def _lines(path: str, number: int, parts: list[bytes], schema: pa.Schema) -> pa.RecordBatch:
-    texts = [p.removesuffix(b"\r").decode("utf-8", "replace") for p in parts]
-    if number == 1 and texts:
-        texts[0] = texts[0].removeprefix("﻿")
-    return pa.RecordBatch.from_arrays([pa.array([path] * len(texts)), pa.array(range(number, number + len(texts)), pa.int64()), pa.array(texts)], schema=schema)
+        for i, part in enumerate(parts):
+            last = not block and i == len(parts) - 1
+            if last and not part and not record:
+                return
+            if not record and not skip and position >= stop:
+                return
+            record.append(part)
+            quoted ^= part.count(b'"') % 2 == 1
+            position, number = position + len(part) + 1, number + 1
+            if not quoted or last:
+                if not skip:
+                    yield first, b"\n".join(record), quoted
+                skip, record, first = False, [], number
+            if skip and position >= stop and not quoted:
+                return
+        if not block:
+            return
+
+
+def _batches(path: str, records: Iterator[tuple[int, bytes, bool]]) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(records, 50_000)):
+        texts, broken = [], []
+        for number, raw, open_quote in part:
+            raw = raw.removesuffix(b"\r")
+            try:
+                text, wrong = raw.decode(), QUOTING if open_quote else None
+            except UnicodeDecodeError:
+                text, wrong = raw.decode("utf-8", "replace"), ENCODING
+            texts.append(text.removeprefix("\ufeff") if number == 1 else text)
+            broken.append(wrong)
+        yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array([n for n, _, _ in part], pa.int64()), pa.array(texts), pa.array(broken, pa.string())], names=["path", "source_line", "text", "broken"])
 
 
 @dataclass(frozen=True)
 class SourceIdentity:
+    """What a source was when it was read. A folder's hash is that of its files' names and hashes in order of name."""
+
     file_name: str
     byte_size: int
     sha256: str
+    modified: str = ""
 
 
 def safe_base_name(path: str) -> str:
-    return os.path.basename(path.replace("\\", "/")) or "source"
+    return os.path.basename(path.rstrip("/").replace("\\", "/")) or "source"
 
 
-def fingerprint(path: str) -> SourceIdentity:
-    fs, at = _filesystem(path)
-    digest, size = hashlib.sha256(), 0
+def _stamped(path: str) -> tuple[int, str]:
+    """Size and times of last change of a file or of a folder's files."""
+    files = _files(path)
+    times = [str(fs.get_file_info(at).mtime_ns) for fs, at in (_filesystem(p) for p, _ in files)]
+    return sum(n for _, n in files), ",".join(times) if len(times) < 100 else hashlib.sha256(",".join(times).encode()).hexdigest()
+
+
+def fingerprint(spark: SparkSession, path: str) -> SourceIdentity:
+    """One task hashes each file, as SHA-256 runs through a file in order; the driver reads no data."""
     try:
-        with fs.open_input_stream(at) as f:
-            while block := f.read(READ_BYTES):
-                digest.update(block)
-                size += len(block)
-    except (FileNotFoundError, OSError) as e:
+        files, (size, modified) = _files(path), _stamped(path)
+    except OSError as e:
         raise ScanError("SOURCE_UNAVAILABLE", f"{safe_base_name(path)} can't be read") from e
-    return SourceIdentity(safe_base_name(path), size, digest.hexdigest())
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, out = batch.column(0).to_pylist(), []
+            for name in names:
+                fs, at = _filesystem(name)
+                digest = hashlib.sha256()
+                with fs.open_input_stream(at) as f:
+                    while block := f.read(READ_BYTES):
+                        digest.update(block)
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(out)], names=["path", "sha"])
+
+    table = spark.createDataFrame([(p,) for p, _ in files], "path string").repartition(max(1, len(files)))
+    rows = sorted((r["path"], r["sha"]) for r in table.mapInArrow(hashed, "path string, sha string").collect())  # one per file
+    if len(rows) == 1:
+        whole = rows[0][1]
+    else:
+        whole = hashlib.sha256("".join(f"{os.path.basename(p)}:{h}\n" for p, h in rows).encode()).hexdigest()
+    return SourceIdentity(safe_base_name(path), size, whole, modified)
 
 
 @dataclass
@@ -296,7 +339,10 @@ class Prepared:
 
 
 def _first_line(path: str) -> str:
-    fs, at = _filesystem(path)
+    files = _files(path)
+    if not files:
+        return ""
+    fs, at = _filesystem(files[0][0])
     with fs.open_input_stream(at) as f:
         head = b""
         while b"\n" not in head and (block := f.read(65_536)):
@@ -321,18 +367,10 @@ def _stamp_parts(fields: Column, layout: Layout, options: CsvOptions) -> Column:
     return parts
 
 
-def scan(spark: SparkSession, path: str, options: CsvOptions) -> Prepared:
-    """Reads a file once and keeps the parsed rows. A line shorter than the layout is fatal, a value that doesn't parse makes its row
-    malformed; further columns are ignored. A header without rows gives empty DataFrames."""
-    identity = fingerprint(path)
-    head = _first_line(path)
-    delimiter = parse_delimiter(options.delimiter) if options.delimiter else detect_delimiter(head)
-    layout = resolve_layout(split_line(head, delimiter), options)
-    lines = numbered_lines(spark, path).where(F.btrim("text") != "")
-    if options.has_header:
-        lines = lines.where(F.col("source_line") > 1)
-    fields = F.transform(malformed.cells(F.col("text"), F.lit(delimiter)), lambda c: F.coalesce(malformed._content(c), c))
-    rows = lines.select("source_line", "text", fields.alias("fields"))
+def parsed(lines: DataFrame, layout: Layout, delimiter: str, options: CsvOptions) -> DataFrame:
+    """The lines (source_line, text and whatever else) with ts, the five numbers, their texts, ``reason`` (null for a good row) and ``_width``."""
+    rows = lines.withColumn("fields", F.transform(malformed.cells(F.col("text"), F.lit(delimiter)), malformed._content))
+    rows = rows.withColumn("_misquoted", F.exists("fields", lambda c: c.isNull()))
     rows = timestamps.with_parts(rows.withColumn("_parts", _stamp_parts(F.col("fields"), layout, options)), "_parts")
     rows = zones.with_offset(rows, "_zone_text", "_explicit")
     offset = F.coalesce("_explicit", F.lit(offset_seconds(options.tz_offset)))
@@ -343,13 +381,38 @@ def scan(spark: SparkSession, path: str, options: CsvOptions) -> Prepared:
     bad = F.when(F.col("ts").isNull(), "The timestamp doesn't parse.")
     for name in PRICES:
         bad = bad.when(F.col(name).isNull(), f"The {name} is no decimal number.")
-    rows = rows.withColumn("reason", bad).withColumn("_width", F.size("fields")).drop("fields", "_parts", "_us", "_unit", "_zone_text", "_explicit").persist(StorageLevel.MEMORY_AND_DISK)
+    return rows.withColumn("reason", bad).withColumn("_width", F.size("fields")).drop("fields", "_parts", "_us", "_unit", "_zone_text", "_explicit")
+
+
+def scan(spark: SparkSession, path: str, options: CsvOptions) -> Prepared:
+    """Reads a file, or the files of a folder that are all written alike, once and keeps the parsed rows.
+
+    A line shorter than the layout, bytes that are no UTF-8 and a quote out of place are fatal; a value that doesn't parse
+    makes its row malformed; further columns are ignored. A header without rows gives empty DataFrames. Lines are numbered within
+    their file. Runs jobs: the files' hashes, and the rows' totals."""
+    identity = fingerprint(spark, path)
+    head = _first_line(path)
+    delimiter = parse_delimiter(options.delimiter) if options.delimiter else detect_delimiter(head)
+    layout = resolve_layout(split_line(head, delimiter), options)
+    lines = numbered_lines(spark, path).where((F.btrim("text") != "") | F.col("broken").isNotNull())
+    if options.has_header:
+        lines = lines.where((F.col("source_line") > 1) | F.col("broken").isNotNull())
+    rows = parsed(lines, layout, delimiter, options).persist(StorageLevel.MEMORY_AND_DISK)
     good = F.col("reason").isNull()
     at = F.when(good, F.col("ts"))
-    totals = rows.agg(F.count("*").alias("examined"), F.count(F.when(good, 1)).alias("accepted"), F.min("_width").alias("width"), F.min(F.when(F.col("_width") < layout.width, F.col("source_line"))).alias("line"), F.min(at).alias("first"), F.max(at).alias("last")).first()
-    if totals["width"] is not None and totals["width"] < layout.width:
+    short = F.col("_width") < layout.width
+    first = lambda test: F.min(F.when(test, F.col("source_line")))
+    totals = rows.agg(
+        F.count("*").alias("examined"), F.count(F.when(good, 1)).alias("accepted"), F.count(F.when(~good, 1)).alias("rejected"), first(short).alias("line"),
+        first(F.col("broken") == ENCODING).alias("encoding"), first((F.col("broken") == QUOTING) | F.col("_misquoted")).alias("quoting"), F.min(at).alias("first"), F.max(at).alias("last"),
+    ).first()
+    for code, name, reason in (("INVALID_ENCODING", "encoding", "is no UTF-8"), ("INVALID_CSV", "quoting", "has a quote out of place"), ("INVALID_STRUCTURE", "line", "has too few columns")):
+        if totals[name] is not None:
+            rows.unpersist()
+            raise ScanError(code, f"line {totals[name]} {reason}")
+    if (identity.byte_size, identity.modified) != _stamped(path):
         rows.unpersist()
-        raise ScanError("INVALID_STRUCTURE", f"line {totals['line']} has too few columns")
+        raise ScanError("SOURCE_CHANGED", f"{identity.file_name} changed while it was read")
     kept = rows.where(good).select("ts", *PRICES, "source_line", *(f"{n}_text" for n in PRICES[:4]))
     lost = rows.where(~good).select("source_line", "ts", "reason", F.lit("").alias("raw_text"))
-    return Prepared(kept, lost, identity, totals["examined"], totals["accepted"], totals["examined"] - totals["accepted"], totals["first"], totals["last"], delimiter, layout, options, rows)
+    return Prepared(kept, lost, identity, totals["examined"], totals["accepted"], totals["rejected"], totals["first"], totals["last"], delimiter, layout, options, rows)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,9 @@ class Report:
     catalog: findings.Catalog
     score: scoring.DatasetScore | None = None
     weights: dict[str, Fraction] | None = field(default=None)
+    #: Sums of the findings' contributions, and whether the coverage adds up; counted apart from ``counts``.
+    contributions: dict[str, int] = field(default_factory=dict)
+    coverage_reconciled: bool = False
 
     @property
     def clean(self) -> bool:
@@ -105,12 +109,14 @@ def validate(spark: SparkSession, path: str, options: CsvOptions, profile: str =
     frame = resolve_timeframe(prepared.candles, calendar, timeframe)
     found = findings.catalog(prepared.candles, calendar, frame.seconds, prepared.malformed)
     rows = findings.summary(found.findings).collect()  # six rows
-    counts, entries = {r["category"]: r["count"] for r in rows}, {r["category"]: r["entries"] for r in rows}
+    contributions, entries = {r["category"]: r["count"] for r in rows}, {r["category"]: r["entries"] for r in rows}
+    counts = checks_counts(found, prepared)
     expected = next((r["expected_candles"] for r in found.sequence.expected.collect()), None)  # one row
     sequence = (COMPLETED, None) if expected else (NOT_APPLICABLE, NO_SEQUENCE)
     states = {m: sequence if m in ("MissingCandles", "TimeGaps") else (COMPLETED, None) for m in scoring.METRICS}
-    report = Report(prepared, frame, profile, calendar, states, entries, counts, expected, found)
+    report = Report(prepared, frame, profile, calendar, states, entries, counts, expected, found, contributions=contributions)
     reconcile(report)
+    verify_edges(report)
     if score:
         by_metric = dict(zip(scoring.METRICS, (counts[c] for c in findings.NAMES), strict=True))
         sizes = {"expected_candles": expected, "accepted_rows": prepared.accepted, "examined_rows": prepared.examined}
@@ -122,14 +128,24 @@ def validate(spark: SparkSession, path: str, options: CsvOptions, profile: str =
     return report
 
 
+def checks_counts(found: findings.Catalog, prepared: Prepared) -> dict[str, int]:
+    """The six counts by the checks' own tables, not by the findings made of them."""
+    n = F.count("*").alias("n")
+    own = {"MissingCandle": found.sequence.gaps.agg(F.coalesce(F.sum("missing_count"), F.lit(0)).alias("n")), "DuplicateRecord": found.duplicates.agg(F.coalesce(F.sum("count_contribution"), F.lit(0)).alias("n")), "InvalidOhlc": found.violations.agg(n), "ClosedMarketRecord": found.closed.agg(n), "TimeGap": found.sequence.gaps.agg(n)}
+    rows = reduce(DataFrame.unionByName, (df.select(F.lit(k).alias("category"), "n") for k, df in own.items())).collect()  # five rows
+    return {r["category"]: r["n"] for r in rows} | {"MalformedRow": prepared.rejected}
+
+
 def reconcile(report: Report) -> None:
-    """Coverage adds up, what was counted is what the checks' own tables hold, and no edge leads nowhere."""
+    """The accepted and the rejected rows, each counted, are those examined; the findings' contributions are the checks' counts; entries
+    are as many as contributions but for duplicates."""
     p = report.prepared
-    if p.examined != p.accepted + p.rejected:
+    report.coverage_reconciled = p.examined == p.accepted + p.rejected
+    if not report.coverage_reconciled:
         raise Fatal("REPORT_RECONCILIATION_FAILED", "Accepted and malformed rows don't add up.")
-    gaps = report.catalog.sequence.gaps.agg(F.count("*").alias("n"), F.coalesce(F.sum("missing_count"), F.lit(0)).alias("missing")).first()
-    if gaps["n"] != report.counts["TimeGap"] or gaps["missing"] != report.counts["MissingCandle"] or p.rejected != report.counts["MalformedRow"]:
-        raise Fatal("REPORT_RECONCILIATION_FAILED", "Counts and findings disagree.")
+    for c in findings.NAMES:
+        if report.contributions[c] != report.counts[c] or c != "DuplicateRecord" and report.entries[c] != report.counts[c]:
+            raise Fatal("REPORT_RECONCILIATION_FAILED", f"Counts and findings of {c} disagree.")
 
 
 def verify_edges(report: Report) -> None:
