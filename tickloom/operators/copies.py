@@ -93,6 +93,8 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list
     n = buckets or max(shuffle_partitions(left.sparkSession), math.ceil(size / BUCKET_BYTES))
 
     def one(df: DataFrame) -> DataFrame:
+        # Two exchanges: the first is fed by the partial aggregate, so that any number of copies of a row costs one row a task; a
+        # single one by bucket would send every copy.
         order = ["source_line"] if "source_line" in df.columns else []
         texts = [F.col(f).cast("string").alias(f) for f in fields]
         rows = df.select(*keys, *order, *texts).groupBy(*keys).agg(F.min(F.struct(*order, *fields)).alias("_v"))

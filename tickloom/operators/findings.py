@@ -200,10 +200,14 @@ def evidence(found: Catalog, candles: DataFrame, profile: str, timeframe: str, b
     groups = of(found.duplicates, "DuplicateRecord", "first_line")
     give(groups, F.col("reference"), "DuplicateRecord", F.lit(-1), text(utc_text("ts").alias("sharedTimestampUtc"), F.col("classification")))
     give(groups.select("*", F.posexplode("differing_fields").alias("_i", "field")), F.col("reference"), "DuplicateDifferingField", F.col("_i"), code(F.col("field")))
-    # Rows are told apart by their line, so no window over a group numbers them; they follow the fields.
-    rows = candles.join(groups.select(*by, "ts", "reference"), [*by, "ts"])
+    # Rows follow the fields in order of line. They are numbered by a range sort over all groups less the group's first number, as a
+    # window over one group would sort it in one task.
+    keys = groups.select(*by, "ts", "reference", F.size("differing_fields").alias("_fields"))
+    rows = numbered(candles.join(keys, [*by, "ts"]), [*by, "reference", "source_line"], "duplicate-rows")
+    first = rows.groupBy(*by, "reference").agg(F.min("_at").alias("_first"))
     values = [F.col(c) for c in checks.FIELDS]
-    give(rows, F.col("reference"), "DuplicateRow", F.col("source_line"), text(F.col("source_line").alias("sourceLine"), *values))
+    order = F.col("_at") - F.col("_first") + F.col("_fields")
+    give(rows.join(first, [*by, "reference"]), F.col("reference"), "DuplicateRow", order, text(F.col("source_line").alias("sourceLine"), *values))
     bad = of(found.violations, "InvalidOhlc", "source_line")
     give(bad, F.col("reference"), "InvalidOhlc", F.lit(-1), text(F.struct(*values).alias("observed")))
     give(bad.select("*", F.posexplode("violations").alias("_i", "violation")), F.col("reference"), "InvalidOhlcViolation", F.col("_i"), code(F.col("violation")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import netformat
-from tickloom.functions.plans import small_side
+from tickloom.functions.plans import settled, small_side
 from tickloom.operators.timestamps import DEFAULT_DATE
 
 #: The columns of a file without a header, and the reason codes.
@@ -28,6 +28,7 @@ RULES = [
 ]
 #: English names of delimiters; a run without one takes the one its first line uses most, in this order.
 DELIMITERS = {"comma": ",", "semicolon": ";", "tab": "\t"}
+_PLACES = list(dict.fromkeys(c for c, *_ in RULES))
 _CUT = "￿"  # a noncharacter, which no text contains
 _BLANKS = " \t"
 DECIMAL = r"^[+-]?(?:[0-9][0-9,]*(?:\.[0-9]*)?|\.[0-9]+)$"
@@ -88,7 +89,10 @@ def _canonical(text: Column, regex: Column, replacement: Column) -> Column:
 
 
 def _day(text: Column, regex: Column, replacement: Column) -> Column:
-    p = _canonical(text, regex, replacement)
+    return _day_of(_canonical(text, regex, replacement))
+
+
+def _day_of(p: Column) -> Column:
     y, m, d = (F.get(p, F.lit(i)) for i in range(3))
     named = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(m, 1, 3)))
     month = F.when(F.length(m) <= 2, F.lpad(m, 2, "0")).when(named % 3 == 1, F.lpad(((named + 2) / 3).cast("int").cast("string"), 2, "0"))
@@ -97,9 +101,12 @@ def _day(text: Column, regex: Column, replacement: Column) -> Column:
 
 def _second(text: Column, regex: Column, replacement: Column) -> Column:
     """Second of the day, or null."""
-    p = _canonical(text, regex, replacement)
+    return _second_of(_canonical(text, regex, replacement))
+
+
+def _second_of(p: Column) -> Column:
     h, m, s, half = (F.get(p, F.lit(i)) for i in (3, 4, 5, 7))
-    number = lambda c: F.coalesce(F.when(c != "", c.cast("int")), F.lit(0))
+    number = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
     hour = F.when(half == "", F.when(number(h) < 24, number(h))).when((number(h) >= 1) & (number(h) <= 12), number(h) % 12 + F.when(F.upper(half) == "PM", 12).otherwise(0))
     return F.when((number(m) < 60) & (number(s) < 60), hour * 3600 + number(m) * 60 + number(s))
 
@@ -121,9 +128,11 @@ def parsed_lines(raw: DataFrame, runs: DataFrame) -> DataFrame:
     return lines.withColumn("line_key", F.xxhash64("record_id", "run_id", "source_line", "raw_text")).drop("_text")
 
 
-def failures(lines: DataFrame) -> DataFrame:
+def failures(lines: DataFrame, values: bool = False) -> DataFrame:
     """(record_id, line_key, reason_code, field, value, failed): the first failing check of each line that fails, and how many fail.
 
+    ``value``, the text that failed, is filled with ``values`` only; it makes the aggregate sort.
+
     A line's own checks come as cells too. Checks go by rank: quoting, fewer fields, more fields, date and time, numbers."""
     n, wanted = F.size("fields"), F.size("columns")
     broken = F.exists("fields", lambda c: c.isNull())
@@ -131,14 +140,25 @@ def failures(lines: DataFrame) -> DataFrame:
     checks = F.array_compact(F.array(line_cell("*quoting", broken), line_cell("*fewer", ~broken & (n < wanted)), line_cell("*more", ~broken & (n > wanted))))
     whole = F.transform(F.arrays_zip(F.col("columns").alias("column"), F.col("fields").alias("value")), lambda x: F.struct(x["column"].alias("column"), x["value"].alias("value")))
     exploded = lines.select("record_id", "line_key", "date_regex", "date_canonical", "time_regex", "time_canonical", F.explode(F.when(F.size(checks) > 0, checks).otherwise(whole)).alias("cell"))
-    rules = F.broadcast(lines.sparkSession.createDataFrame(RULES, "column string, kind string, code string, rank int"))
-    cell = exploded.select("*", "cell.column", "cell.value").join(rules, "column")
-    date = _day(F.col("value"), F.col("date_regex"), F.col("date_canonical")).isNull()
-    time = _second(F.col("value"), F.col("time_regex"), F.col("time_canonical")).isNull()
-    number = ~F.coalesce(F.col("value").rlike(DECIMAL), F.lit(False))
-    failed = F.when(F.col("kind") == "fails", F.lit(True)).when(F.col("kind") == "date", date).when(F.col("kind") == "time", time).otherwise(number)
-    errors = cell.where(failed).groupBy("record_id", "line_key").agg(F.min(F.struct("rank", "code", "column", "value")).alias("e"), F.count("*").alias("failed"))
-    return errors.select("record_id", "line_key", F.col("e.code").alias("reason_code"), F.when(~F.col("e.column").startswith("*"), F.col("e.column")).alias("field"), F.col("e.value").alias("value"), "failed")
+    rules = F.broadcast(lines.sparkSession.createDataFrame(RULES, "column string, kind string, code string, rank int"))  # a dozen rows
+    cell = exploded.select("record_id", "line_key", "cell.column", "cell.value", *(F.col(c) for c in ("date_regex", "date_canonical", "time_regex", "time_canonical"))).join(rules, "column")
+    # One pattern a cell, and one pass: a cell that its pattern doesn't match keeps no bar.
+    is_date, is_time = F.col("kind") == "date", F.col("kind") == "time"
+    pattern = F.when(is_date, F.col("date_regex")).when(is_time, F.col("time_regex"))
+    order = F.when(is_date, F.col("date_canonical")).otherwise(F.col("time_canonical"))
+    stamp = F.when((is_date | is_time) & ~F.col("value").contains("|"), F.regexp_replace(F.col("value"), pattern, order))
+    cell = cell.withColumn("_p", F.split(stamp, r"\|", -1))
+    exists = F.when(is_date, _day_of(F.col("_p")).isNotNull()).otherwise(_second_of(F.col("_p")).isNotNull())
+    number = F.coalesce(F.col("value").rlike(DECIMAL), F.lit(False))
+    failed = F.when(F.col("kind") == "fails", F.lit(True)).when(F.col("kind") == "decimal", ~number).otherwise(~(F.coalesce(F.size("_p") == 9, F.lit(False)) & exists))
+    # A rank and a place as one number, so that the aggregate needs no sort; the code and the column are looked up by them.
+    wrong = settled(cell.withColumn("_failed", failed), "_failed").where("_failed")
+    keyed = wrong.select("record_id", "line_key", (F.col("rank") * 16 + F.array_position(F.array(*(F.lit(c) for c in _PLACES)), F.col("column"))).cast("int").alias("first"), "value")
+    errors = keyed.groupBy("record_id", "line_key").agg(F.min("first").alias("first"), F.count("*").alias("failed"), F.min_by("value", "first").alias("value")) if values else keyed.groupBy("record_id", "line_key").agg(F.min("first").alias("first"), F.count("*").alias("failed"), F.lit(None).cast("string").alias("value"))
+    ranks = {rank: code for _, _, code, rank in RULES}
+    code = F.element_at(F.array(*(F.lit(ranks[i]) for i in range(1, len(ranks) + 1))), F.floor(F.col("first") / 16).cast("int"))
+    column = F.element_at(F.array(*(F.lit(c) for c in _PLACES)), F.col("first") % 16)
+    return errors.select("record_id", "line_key", code.alias("reason_code"), F.when(~column.startswith("*"), column).alias("field"), "value", "failed")
 
 
 def candles(lines: DataFrame, errors: DataFrame) -> DataFrame:

@@ -334,4 +334,4 @@ def duplicate_evidence(spark: SparkSession, folder: str) -> DataFrame:
     rows = _candles(spark, folder)
     found = findings.catalog(rows, calendars.forex, STEP_S)
     records = findings.evidence(found, rows, "forex", "M1").where(F.col("kind") == "DuplicateRow")
-    return records.select("reference", F.get_json_object("payload", "$.source_line").cast("bigint").alias("source_line"), "child_order")
+    return records.select("reference", F.get_json_object("payload", "$.sourceLine").cast("bigint").alias("source_line"), "child_order")

@@ -74,7 +74,7 @@ def entries(report: Report) -> Iterator[Entry]:
 
     records = report.evidence().join(keys, "reference")
     double = records.where(F.col("kind") == "DuplicateRow")
-    give(double, F.lit(1), F.col("child_order"), F.lit("line"), F.col("child_order").cast("string"))
+    give(double, F.lit(1), F.col("child_order"), F.lit("line"), F.get_json_object("payload", "$.sourceLine"))
     give(places.where((F.col("category") != "DuplicateRecord") & F.col("first_line").isNotNull()), F.lit(1), F.col("first_line"), F.lit("line"), F.col("first_line").cast("string"))
     later = F.col("kind").isin("DuplicateRow", "MalformedSkippedCheck")
     give(records, F.when(F.col("child_order") < 0, 2).when(later, 4).otherwise(3), F.col("child_order"), F.col("kind"), F.col("payload"))

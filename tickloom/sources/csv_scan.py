@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import netformat, zones
 from tickloom.functions.numbers import parse_decimal
+from tickloom.functions.plans import settled
 from tickloom.operators import malformed, timestamps
 
 RANGE_BYTES = 64 * 1024 * 1024
@@ -381,7 +382,8 @@ def parsed(lines: DataFrame, layout: Layout, delimiter: str, options: CsvOptions
     bad = F.when(F.col("ts").isNull(), "The timestamp doesn't parse.")
     for name in PRICES:
         bad = bad.when(F.col(name).isNull(), f"The {name} is no decimal number.")
-    return rows.withColumn("reason", bad).withColumn("_width", F.size("fields")).drop("fields", "_parts", "_us", "_unit", "_zone_text", "_explicit")
+    rows = rows.withColumn("reason", bad).withColumn("_width", F.size("fields")).drop("fields", "_parts", "_us", "_unit", "_zone_text", "_explicit")
+    return settled(rows, "reason")
 
 
 def scan(spark: SparkSession, path: str, options: CsvOptions) -> Prepared:
