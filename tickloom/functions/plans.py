@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,23 +65,45 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-_WRITTEN: list[str] = []
+class Scope:
+    """The tables written while a scope is open; ``remove`` deletes them, after which DataFrames that read them can't be used."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def remove(self, spark: SparkSession) -> None:
+        while self.paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: The open scopes; the first holds what is written outside any.
+_SCOPES = [Scope()]
+
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    """Collects the tables written inside it, for its owner to remove when their readers are done."""
+    own = Scope()
+    _SCOPES.append(own)
+    try:
+        yield own
+    finally:
+        _SCOPES.remove(own)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage and computes it once. ``forget`` removes it."""
+    """``df`` written to the shared folder and read again: cuts the lineage and computes it once. Its scope removes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _SCOPES[-1].paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession) -> None:
-    """Removes the tables written so far; DataFrames that read them can't be used afterwards."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Removes the tables written so far outside any scope."""
+    _SCOPES[0].remove(spark)
 
 
 def settled(df: DataFrame, column: str) -> DataFrame:

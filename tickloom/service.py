@@ -16,6 +16,7 @@ from typing import BinaryIO
 
 from pyspark.sql import SparkSession
 
+from tickloom.functions.plans import Scope, scope
 from tickloom.operators import comparison, scoring
 from tickloom.sinks import reports
 from tickloom.sources.benchmark_store import BenchmarkStore
@@ -153,6 +154,7 @@ class RunStore:
 class Result:
     report: Report
     comparison: reports.Comparison | None = None
+    tables: Scope = field(default_factory=Scope)
 
 
 class ValidationService:
@@ -194,10 +196,14 @@ class ValidationService:
         stored = dict(record["options"])
         o = RunOptions(**stored | {"csv": CsvOptions(**stored["csv"])})
         try:
-            made = run_operation(self.spark, record["path"], record["operation"], o, self.benchmarks)
+            with scope() as tables:
+                made = run_operation(self.spark, record["path"], record["operation"], o, self.benchmarks)
+                made.tables = tables
         except Fatal as e:
+            tables.remove(self.spark)
             self.runs.move(run, FAILED, code=e.code, reason=e.reason)
         except Exception as e:
+            tables.remove(self.spark)
             self.runs.move(run, FAILED, code="VALIDATION_INCOMPLETE", reason=type(e).__name__)
             raise
         else:
@@ -243,6 +249,7 @@ def discard(service: ValidationService) -> None:
     """Removes all that the service stored."""
     for made in service.results.values():
         made.report.prepared.release()
+        made.tables.remove(service.spark)
     shutil.rmtree(service.root, ignore_errors=True)
 
 

@@ -17,6 +17,7 @@ from typing import TextIO
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from tickloom.functions.plans import scope
 from tickloom.operators import comparison, findings, scoring
 from tickloom.validation import COMPLETED, Fatal, Report
 
@@ -63,6 +64,17 @@ def entries(report: Report) -> Iterator[Entry]:
     """Every finding in canonical order with its lines, evidence and relationships, merged from one sorted stream of small rows.
 
     Each row is one finding, line, evidence record or edge, so neither a task nor the driver holds all that belongs to a finding."""
+    spark = report.catalog.findings.sparkSession
+    with scope() as tables:
+        stream = _stream(report).toLocalIterator()
+    try:
+        yield from _merged(stream)
+    finally:
+        tables.remove(spark)
+
+
+def _stream(report: Report) -> DataFrame:
+    """(position, part, item, kind, text, head), sorted; ``head`` in the finding's own row only."""
     places = findings.positioned(report.catalog.findings)
     head = F.struct("reference", "category", "title", "explanation", "count_contribution", "evidence_kind", "suggested_action", _instant("ts").alias("at"), "first_line")
     keys = places.select("reference", "position")
@@ -80,7 +92,10 @@ def entries(report: Report) -> Iterator[Entry]:
     give(records, F.when(F.col("child_order") < 0, 2).when(later, 4).otherwise(3), F.col("child_order"), F.col("kind"), F.col("payload"))
     edges = report.catalog.edges.select(F.col("owner").alias("reference"), F.col("kind").alias("link"), "target").distinct().join(keys, "reference")
     give(edges, F.lit(5), F.lit(0), F.col("link"), F.col("target"))
-    stream = reduce(DataFrame.unionByName, rows).orderBy("position", "part", "item", "kind", "text").toLocalIterator()
+    return reduce(DataFrame.unionByName, rows).orderBy("position", "part", "item", "kind", "text")
+
+
+def _merged(stream: Iterator[Row]) -> Iterator[Entry]:
     ahead = next(stream, None)
 
     def parts(position: int, first: int, last: int) -> Iterator[Row]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import netformat, zones
-from tickloom.functions.numbers import parse_decimal
+from tickloom.functions.numbers import with_decimals
 from tickloom.functions.plans import settled
 from tickloom.operators import malformed, timestamps
 
@@ -376,9 +376,8 @@ def parsed(lines: DataFrame, layout: Layout, delimiter: str, options: CsvOptions
     rows = zones.with_offset(rows, "_zone_text", "_explicit")
     offset = F.coalesce("_explicit", F.lit(offset_seconds(options.tz_offset)))
     rows = rows.withColumn("ts", F.timestamp_micros(F.col("_us") - offset.cast("bigint") * 1_000_000))
-    for name, at in zip(PRICES, layout.numbers, strict=True):
-        value = F.get("fields", F.lit(at))
-        rows = rows.withColumn(f"{name}_text", F.btrim(value)).withColumn(name, parse_decimal(value))
+    rows = rows.withColumns({f"{name}_text": F.btrim(F.get("fields", F.lit(at))) for name, at in zip(PRICES, layout.numbers, strict=True)})
+    rows = with_decimals(rows, {name: F.col(f"{name}_text") for name in PRICES})
     bad = F.when(F.col("ts").isNull(), "The timestamp doesn't parse.")
     for name in PRICES:
         bad = bad.when(F.col(name).isNull(), f"The {name} is no decimal number.")
