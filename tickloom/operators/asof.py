@@ -20,11 +20,12 @@ def nearest(df: DataFrame, keys: list[str], number: str, value: str, out: str, a
     nodes = [f"_node{i}" for i in range(1, levels + 1)]
     for i, name in enumerate(nodes):
         df = df.withColumn(name, F.expr(f"floor({nodes[i - 1]} / {FANOUT}L)" if i else f"floor({number} / {FANOUT * unit}L)"))
-    pick, first = (F.min, F.first) if after else (F.max, F.last)
-    frame = (1, Window.unboundedFollowing) if after else (Window.unboundedPreceding, -1)
+    pick = F.min if after else F.max
 
     def beside(rows: DataFrame, by: list[str], order: str) -> DataFrame:
-        return rows.withColumn("_beside", first("_value", ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(*frame)))
+        # From the far end on, so that the frame only grows: a frame that shrinks is computed anew for each row.
+        far_first = F.col(order).desc() if after else F.col(order).asc()
+        return rows.withColumn("_beside", F.last("_value", ignorenulls=True).over(Window.partitionBy(*by).orderBy(far_first).rowsBetween(Window.unboundedPreceding, -1)))
 
     level, heads = df.select(*keys, *nodes, F.col(value).alias("_value")), []
     for i in range(levels):

@@ -176,7 +176,7 @@ def pairwise_gaps(candles: DataFrame, step_s: int, by: tuple[str, ...] = ()) ->
     """Gaps without a calendar: consecutive instants more than a step apart, with the whole time between them and the steps it misses."""
     step = step_s * 1_000_000
     points = candles.select(*by, micros().alias("t")).where(F.col("t").isNotNull()).distinct()
-    pairs = nearest(points, list(by), "t", "t", "next_t", levels=2, unit=step).where(F.col("next_t") - F.col("t") > step)
+    pairs = nearest(points, list(by), "t", "t", "next_t", levels=2, unit=MINUTE).where(F.col("next_t") - F.col("t") > step)
     missing = F.floor((F.col("next_t") - F.col("t")) / F.lit(step)).cast("bigint") - 1
     return pairs.select(*by, F.timestamp_micros("t").alias("previous"), F.timestamp_micros("next_t").alias("next"), ((F.col("next_t") - F.col("t")) / 1_000_000).cast("bigint").alias("elapsed_seconds"), missing.alias("missing_count"))
 
