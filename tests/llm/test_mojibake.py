@@ -164,3 +164,34 @@ def test_alphabet_without_copies_and_garbled_texts(spark):
     made = mojibake.fit(spark.createDataFrame(rows + many + copies, "doc_id bigint, text string, lang string"))
     assert not set("Ã©ß") & set(made.usual["fr"]) and "é" in made.usual["fr"]
     assert mojibake.Restorer(made).restore(many[0][1], "fr")[0].startswith("Évidemment, la fenêtre")
+
+
+def test_all_texts_and_lines_are_learnt_from(spark):
+    """More texts than were once sampled for a language, and one long text: the dictionaries, into which all fit, have nearly all their
+    lines but for some that the trainer leaves out at its segments' ends; half and a quarter would be there of a sample."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14))
+    many, long = [word() for _ in range(1_200)], [word() for _ in range(1_500)]
+    rows = [(i, f"é {x}\n{x} été là", "fr") for i, x in enumerate(many)] + [(5_000, "\n".join(f"là {x} é" for x in long), "de")]
+    assert len(rows[-1][1]) > 3 * mojibake.SAMPLE_CHARS
+    made = mojibake.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    for lang, words in (("fr", many), ("de", long)):
+        assert sum(x.encode() in made.dictionaries[lang] for x in words) >= 0.75 * len(words)
+
+
+def test_garbled_words_are_told_by_all_texts(spark):
+    """A rare word read with a wrong codec is told by the one text of many that has it right."""
+    swapped, utf8 = garbled("théâtre", "cp1252", "mac_roman"), garbled("château", "cp1252", "utf-8")
+    texts = ["à côté"] * 2_000 + ["théâtre\nthéâtre", swapped, utf8]
+    bad = mojibake._garbled_words(spark.createDataFrame([("fr", x) for x in texts], "k string, words string"))
+    assert swapped in bad["fr"] and utf8 in bad["fr"]
+    assert not {"théâtre", "côté", "à"} & bad["fr"]
+
+
+def test_dictionaries_of_parts_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(mojibake, "PART_BYTES", 30_000)
+    monkeypatch.setattr(mojibake, "MERGED_PARTS", 2)
+    made = mojibake.fit(spark.read.parquet(PATH))
+    assert set(made.dictionaries) == set(made.usual) and max(map(len, made.dictionaries.values())) <= mojibake.DICTIONARY_BYTES
+    text = "Évidemment, la fenêtre reste ouverte à côté du château."
+    assert mojibake.Restorer(made).restore(garbled(text, "cp1252", "utf-8"), "fr")[0] == text
