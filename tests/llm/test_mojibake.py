@@ -195,3 +195,42 @@ def test_dictionaries_of_parts_are_merged(spark, monkeypatch):
     assert set(made.dictionaries) == set(made.usual) and max(map(len, made.dictionaries.values())) <= mojibake.DICTIONARY_BYTES
     text = "Évidemment, la fenêtre reste ouverte à côté du château."
     assert mojibake.Restorer(made).restore(garbled(text, "cp1252", "utf-8"), "fr")[0] == text
+
+
+def test_right_lines_are_passed_over_uncompressed(model, clean, monkeypatch):
+    """Most lines of a language's own characters have no candidate, and cost no compression to see that."""
+    fresh, sized = mojibake.Restorer(model), []
+    length = mojibake.Restorer.length
+    monkeypatch.setattr(mojibake.Restorer, "length", lambda self, text, langs, *more: sized.append(text) or length(self, text, langs, *more))
+    lines = {(x, lang) for lang in ("ru", "el", "cs", "fr") for t in clean[lang][:20] for x in t.split("\n") if not x.isascii() and not fresh.odd(x, (lang,))}
+    for line, lang in sorted(lines):
+        assert fresh.best(line, (lang,), frozenset())[0] == line
+    assert len(lines) > 500 and len(sized) < 0.3 * len(lines)
+
+
+def test_no_candidate_is_passed_over(restorer, clean):
+    """The candidates of multi-byte codecs, of which words are tried once, are all that whole lines and their words have."""
+    seen = 0
+    for wrong, right, lang in [*CHAINS, ("cp1252", "euc_jp", "ja"), ("latin-1", "cp932", "ja")]:
+        for text in clean[lang][:6]:
+            for x in text.split("\n"):
+                for line in (x, garbled(x, wrong, right), f"{garbled(x, wrong, right)} Véri — {x}"):
+                    if not line or line.isascii():
+                        continue
+                    here, langs = "".join(mojibake._HIGHS.findall(line)), (lang,)
+                    odd, mixed = restorer.odd_count(line, langs), len(mojibake._MIXED.findall(line))
+                    paired = mojibake._holds_utf8(line)
+                    made = {c for c in restorer._cheaper(line, here, frozenset(here), langs, odd, mixed > 0, paired, [1e12]) if c[2][1] in mojibake._MULTI}
+                    assert made == {c for c in restorer.candidates(line) if c[2][1] in mojibake._MULTI}
+                    seen += len(made)
+    assert seen > 1_000
+
+
+def test_lines_that_come_again_are_kept(model, monkeypatch):
+    monkeypatch.setattr(mojibake, "KEPT_LINES", 10)
+    fresh, tried = mojibake.Restorer(model), []
+    best = mojibake.Restorer.best
+    monkeypatch.setattr(mojibake.Restorer, "best", lambda self, *x: tried.append(x[0]) or best(self, *x))
+    for i in range(100):
+        assert fresh.restore(f"été {i}\r\nété\n", "fr") == (f"été {i}\r\nété\n", [], 0)
+    assert tried.count("été") == 1 and len(fresh.lines["fr",]) <= 10
